@@ -22,8 +22,6 @@ WORDS = 5
 PERCENT = 85
 #: Bands of a collection, and MinHash values of a band.
 M, R = 9, 2
-#: Of the 2 * M bands, those in which two documents that are to be linked agree, but for one pair in a million.
-LEAST = 4
 
 
 def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +70,11 @@ def _keys(reps: DataFrame) -> DataFrame:
     return a.select("uid", "a", F.explode(F.slice("sig", M + 1, M)).alias("b")).select(F.xxhash64("a", "b").alias("key"), "uid")
 
 
+def _shares(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    same = sigs == sig
+    return same[:, :M].any(axis=1) & same[:, M:].any(axis=1)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, rk: one row for each row of ``docs`` (doc_id long, text; others are ignored).
 
@@ -101,7 +104,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return rows.mapInArrow(fetch, "rk long, h1 long, h2 long, body binary")
 
     units = base.where("n > 0").withColumn("label", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    linked = near_duplicate_classes(units, _keys, sets_of, PERCENT, LEAST)
+    linked = near_duplicate_classes(units, _keys, sets_of, PERCENT, _shares)
     # Equal sets are linked without any candidate.
     equal = units.groupBy("h1", "h2").agg(F.min("label").alias("own"), F.count("*").alias("size")).where("size > 1").drop("size")
     named = equal.join(linked, ["h1", "h2"], "full").select("h1", "h2", F.least("comp", "own").alias("comp"))

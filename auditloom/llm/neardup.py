@@ -6,12 +6,12 @@ the class's representative takes part in what follows.
 
 Candidates of a key are linked to one hub, the least of the key, so a key with
 n units gives n - 1 pairs and not n * n / 2. Links confirmed that way join
-units into components. What is left to compare are units of one key that are
-still in different components: those keys are dealt out again, cut into blocks
-of bounded size, and each pair of blocks is compared on its own by the agreement
-of bands and by the sizes of the sets before any pair is written. So a large
-group of copies costs one comparison for each copy, and no candidate is dropped
-for being in a large group.
+units into components. What is left to compare are units that share a hub but
+are still in different components: those outside a hub's main component are
+compared with all of its units, in blocks of bounded size, and only links that
+join something are written. So a large group of copies costs one comparison for
+each copy, no pairs are written out, and no candidate is dropped for being in a
+large group.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Bitmap, long_array, mix, scratch
 from .components import components
 
-#: Units of a key that one task compares with as many others.
-BLOCK = 256
+#: Units of a hub that one task compares with as many others.
+BLOCK = 512
 
 
 def minhashes(shingles: np.ndarray, offsets: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -83,46 +83,63 @@ def set_hashes(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(h1 + n), mix(h2 ^ mix(n))
 
 
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * common >= percent * union, of two sorted sets without repeats."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    common = int((q[at] == p).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
 def _linked(percent: int):
     def check(batches):
         for batch in batches:
-            keep = []
-            cols = [batch.column(c).to_pylist() for c in ("sa", "sb")]
-            for i, (x, y) in enumerate(zip(*cols, strict=True)):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    continue
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                common = int((q[at] == p).sum())
-                if 100 * common >= percent * (len(p) + len(q) - common):
-                    keep.append(i)
+            pairs = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+            keep = [i for i, (x, y) in enumerate(pairs) if _similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return check
 
 
-def _across(percent: int, least: int):
-    """Pairs of one key and pair of blocks whose components differ and which may be similar."""
-
-    def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches)  # two blocks
-        uid, comp, n, part = (rows.column(c).to_numpy() for c in ("uid", "comp", "n", "part"))
-        sig = np.array(rows.column("sig").to_pylist(), np.int64)
-        own = key[1].as_py() == key[2].as_py()
-        left, right = (np.arange(len(uid)),) * 2 if own else (np.flatnonzero(part == key[1].as_py()), np.flatnonzero(part == key[2].as_py()))
-        for i in left:
-            m = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i])) & ((sig[right] == sig[i]).sum(axis=1) >= least)
-            j = right[m & (uid[right] > uid[i])] if own else right[m]
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[i], uid[j])), pa.array(np.maximum(uid[i], uid[j]))], names=["a", "b"])
-
-    return pairs
+def _within(percent: int, shares: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """Links across components among the units of one hub, of one block of targets and one of queries.
 
+    Only links that join what is still apart here are given, so a dense group
+    gives a forest and not all its pairs.
+    """
 
-def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], Column | DataFrame], sets_of: Callable[[Bitmap], DataFrame], percent: int, least: int) -> DataFrame:
+    def links(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        uid, comp, side = (rows.column(c).to_numpy() for c in ("uid", "comp", "side"))
+        sig = np.array(rows.column("sig").to_pylist(), np.int64)
+        bodies = [np.frombuffer(x, np.uint64) for x in rows.column("body").to_pylist()]
+        n = np.array([len(x) for x in bodies])
+        root = {int(c): int(c) for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        targets, found = np.flatnonzero(side == 0), []
+        for i in np.flatnonzero(side == 1):
+            fit = (comp[targets] != comp[i]) & (100 * np.minimum(n[targets], n[i]) >= percent * np.maximum(n[targets], n[i]))
+            some = targets[fit]
+            for j in some[shares(sig[some], sig[i])]:
+                p, q = find(int(comp[i])), find(int(comp[j]))
+                if p != q and _similar(bodies[i], bodies[j], percent):
+                    root[p] = q
+                    found.append((min(uid[i], uid[j]), max(uid[i], uid[j])))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return links
+
+
+def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], Column | DataFrame], sets_of: Callable[[Bitmap], DataFrame], percent: int, shares: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(h1, h2, comp): for each distinct set that is linked with another, the least label reachable.
 
     ``units``: a scratch table with h1, h2 (the set's name), n (its size, over
@@ -130,18 +147,17 @@ def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], Column
     row's 64-bit key for ``sets_of``) and sig (array of long: its bands).
     ``keys`` explodes (uid, n, sig) into rows (key, uid). ``sets_of`` gives
     (rk, h1, h2, body) of at least the rows whose rk is in the bitmap. Sets are
-    linked if 100 * common >= percent * union; ``least``: bands in which
-    sets that similar agree, but for a chance that is left out of account.
+    linked if 100 * common >= percent * union. ``shares`` tells which rows of
+    an array of sigs have a key in common with one sig.
     """
-    spark = units.sparkSession
     reps = units.groupBy("h1", "h2").agg(F.min("label").alias("label"), F.min(F.struct("rk", "n", "sig")).alias("r"))
     reps = scratch(reps.select("h1", "h2", "label", "r.rk", "r.n", "r.sig", F.xxhash64("h1", "h2").alias("uid")), "reps")
     keyed = keys(reps.select("uid", "n", "sig"))
     hubs = keyed.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = scratch(keyed.join(hubs, "key"), "shared")  # only keys that two units have at least
-    stars = shared.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
+    stars = scratch(keyed.join(hubs, "key").where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), "stars")
 
-    members = reps.join(shared.select("uid").distinct(), "uid", "left_semi").select("uid", "rk", "h1", "h2", "n", "sig")
+    ends = stars.select(F.col("a").alias("uid")).union(stars.select(F.col("b").alias("uid"))).distinct()
+    members = reps.join(ends, "uid", "left_semi").select("uid", "rk", "h1", "h2", "n", "sig")
     members = scratch(members, "members")
     bitmap = Bitmap.collect(members, "rk")
     found = sets_of(bitmap).join(members.select("uid", "rk", "h1", "h2"), ["rk", "h1", "h2"]).groupBy("uid").agg(F.first("body").alias("body"))
@@ -155,20 +171,21 @@ def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], Column
 
     links = scratch(confirmed(stars), "links")
     comps = components(links)
-    # A key of two units is done; so is one whose units are all in one component.
-    left = shared.where("size > 2").join(comps.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", "hub", F.coalesce("comp", "uid").alias("comp"))
-    open_keys = left.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most").select("key", "size")
-    rest = scratch(left.where("uid <> hub").join(open_keys, "key"), "open")
+    # Units that share a key share its hub, and each has been compared with that. What is still apart is compared hub by hub.
+    near = stars.select(F.col("a").alias("hub"), F.col("b").alias("uid")).join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    each = near.groupBy("hub", "comp").agg(F.count("*").alias("n"))
+    most = each.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size")).where("size > most.n")
+    rest = scratch(near.join(most.select("hub", F.col("most.comp").alias("main"), "size", (F.col("size") - F.col("most.n")).alias("others")), "hub"), "open")
     if not rest.isEmpty():
-        parts = rest.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-        dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "uid", "comp")
-        dealt = dealt.join(members.select("uid", "n", "sig"), "uid")
-        more = dealt.groupBy("key", "p", "q").applyInArrow(_across(percent, least), "a long, b long").distinct()
-        more = scratch(confirmed(more), "links")
+        # Targets: all units of the hub; queries: those outside its main component. Either side is cut into blocks.
+        blocks = rest.withColumn("ps", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("qs", F.ceil(F.col("others") / BLOCK).cast("int"))
+        own = F.xxhash64("uid", "hub")
+        targets = blocks.select("hub", F.pmod(own, F.col("ps")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "uid", "comp", F.lit(0).alias("side"))
+        queries = blocks.where("comp <> main").select("hub", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), F.pmod(own, F.col("qs")).cast("int").alias("q"), "uid", "comp", F.lit(1).alias("side"))
+        dealt = targets.unionByName(queries).join(members.select("uid", "sig"), "uid").join(sets, "uid")
+        more = scratch(dealt.groupBy("hub", "p", "q").applyInArrow(_within(percent, shares), "a long, b long"), "links")
         if not more.isEmpty():
             comps = components(links.union(more))
-    del spark
     named = comps.join(reps.select(F.col("uid").alias("node"), "h1", "h2", "label"), "node")
     return named.join(named.groupBy("comp").agg(F.min("label").alias("least")), "comp").select("h1", "h2", F.col("least").alias("comp"))
 
