@@ -121,15 +121,16 @@ def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np
     return best, taken
 
 
-def _greedy_start(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray]:
+def _greedy_start(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray, np.ndarray]:
     """A basis of the master program: the longest length left with whatever is longest and fits, used until one of them runs out.
 
     Each pattern stands in the row of the length that it uses up. As no later
-    pattern has that length, the basis is triangular and so has an inverse.
+    pattern has that length, the basis is triangular; its inverse comes back too,
+    by substitution.
     """
     m = len(lengths)
     left = demand.astype(float).copy()
-    alive = list(range(m))
+    alive, order = list(range(m)), []
     sizes = lengths.tolist()
     basis: list[dict[int, int]] = [{} for _ in range(m)]
     uses = np.zeros(m)
@@ -148,7 +149,19 @@ def _greedy_start(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tup
         left[gone] = 0.0
         basis[gone], uses[gone] = pattern, n
         alive.remove(gone)
-    return basis, uses
+        order.append(gone)
+    users: list[list[tuple[int, int]]] = [[] for _ in range(m)]  # earlier patterns that use a length
+    for k in order:
+        for i, t in basis[k].items():
+            if i != k:
+                users[i].append((k, t))
+    inverse = np.zeros((m, m))
+    for k in order:
+        inverse[k, k] = 1.0
+        for j, t in users[k]:
+            inverse[k] -= t * inverse[j]
+        inverse[k] /= basis[k][k]
+    return basis, uses, inverse
 
 
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-3, rounds: int = 200) -> list[tuple[dict[int, int], float]]:
@@ -162,12 +175,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
     """
     m = len(lengths)
     index = {int(x): i for i, x in enumerate(lengths)}
-    basis, x = _greedy_start(lengths, demand, capacity)
-    matrix = np.zeros((m, m))
-    for k, pattern in enumerate(basis):
-        for i, t in pattern.items():
-            matrix[i, k] = t
-    inverse = np.linalg.inv(matrix)
+    basis, x, inverse = _greedy_start(lengths, demand, capacity)
     y = inverse.sum(axis=0)
     for _ in range(rounds):
         best, taken = knapsack(y, lengths, capacity)
@@ -190,7 +198,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
             rows, times = np.array(list(column)), np.array(list(column.values()), float)
             if float(y[rows] @ times) <= 1 + 1e-9:
                 continue
-            d = inverse[:, rows] @ times
+            d = (inverse[:, rows] * times).sum(axis=1)
             up = np.flatnonzero(d > 1e-9)
             if not len(up):
                 continue
