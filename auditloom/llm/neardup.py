@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Bitmap, long_array, mix, scratch
 from .components import components
 
-#: Units of a hub that one task compares with as many others.
-BLOCK = 512
+#: Units of a hub, and members of their sets, that one task compares with as many others.
+BLOCK, BLOCK_MEMBERS = 2048, 4_000_000
 
 
 def minhashes(shingles: np.ndarray, offsets: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -118,6 +118,8 @@ def _within(percent: int, shares: Callable[[np.ndarray, np.ndarray], np.ndarray]
         sig = np.array(rows.column("sig").to_pylist(), np.int64)
         bodies = [np.frombuffer(x, np.uint64) for x in rows.column("body").to_pylist()]
         n = np.array([len(x) for x in bodies])
+        targets, queries = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        common = _intersections(bodies, queries, targets)
         root = {int(c): int(c) for c in comp}
 
         def find(c: int) -> int:
@@ -125,13 +127,13 @@ def _within(percent: int, shares: Callable[[np.ndarray, np.ndarray], np.ndarray]
                 root[c] = c = root[root[c]]
             return c
 
-        targets, found = np.flatnonzero(side == 0), []
-        for i in np.flatnonzero(side == 1):
-            fit = (comp[targets] != comp[i]) & (100 * np.minimum(n[targets], n[i]) >= percent * np.maximum(n[targets], n[i]))
-            some = targets[fit]
-            for j in some[shares(sig[some], sig[i])]:
+        found = []
+        for k, i in enumerate(queries):
+            c = common[k]
+            some = np.flatnonzero((comp[targets] != comp[i]) & (100 * c >= percent * (n[targets] + n[i] - c)))
+            for j in targets[some[shares(sig[targets[some]], sig[i])]]:
                 p, q = find(int(comp[i])), find(int(comp[j]))
-                if p != q and _similar(bodies[i], bodies[j], percent):
+                if p != q:
                     root[p] = q
                     found.append((min(uid[i], uid[j]), max(uid[i], uid[j])))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
@@ -139,6 +141,31 @@ def _within(percent: int, shares: Callable[[np.ndarray, np.ndarray], np.ndarray]
     return links
 
 
+def _intersections(bodies: list[np.ndarray], queries: np.ndarray, targets: np.ndarray, width: int = 1 << 15) -> np.ndarray:
+    """Sizes of the intersections of each query with each target, on bit rows over ``width`` values at a time."""
+    out = np.zeros((len(queries), len(targets)), np.int64)
+    if not len(queries) or not len(targets):
+        return out
+    values, codes, times = np.unique(np.concatenate(bodies), return_inverse=True, return_counts=True)
+    shared = times > 1  # the others are in no intersection
+    code = np.where(shared, np.cumsum(shared) - 1, -1)[codes]
+    owner = np.repeat(np.arange(len(bodies)), [len(x) for x in bodies])
+    keep = code >= 0
+    code, owner = code[keep], owner[keep]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(code, [low, low + width])
+        at = code[a:b] - low
+        bits = np.zeros((len(bodies), (min(width, int(shared.sum()) - low) + 63) // 64), np.uint64)
+        np.bitwise_or.at(bits, (owner[a:b], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        right = bits[targets]
+        for k, i in enumerate(queries):
+            if bits[i].any():
+                out[k] += np.bitwise_count(right & bits[i]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], Column | DataFrame], sets_of: Callable[[Bitmap], DataFrame], percent: int, shares: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(h1, h2, comp): for each distinct set that is linked with another, the least label reachable.
 
@@ -172,16 +199,17 @@ def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], Column
     links = scratch(confirmed(stars), "links")
     comps = components(links)
     # Units that share a key share its hub, and each has been compared with that. What is still apart is compared hub by hub.
-    near = stars.select(F.col("a").alias("hub"), F.col("b").alias("uid")).join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    each = near.groupBy("hub", "comp").agg(F.count("*").alias("n"))
-    most = each.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size")).where("size > most.n")
-    rest = scratch(near.join(most.select("hub", F.col("most.comp").alias("main"), "size", (F.col("size") - F.col("most.n")).alias("others")), "hub"), "open")
+    near = stars.select(F.col("a").alias("hub"), F.col("b").alias("uid")).join(comps.withColumnRenamed("node", "uid"), "uid", "left").join(members.select("uid", "n"), "uid").withColumn("comp", F.coalesce("comp", "uid"))
+    each = near.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("members"))
+    most = each.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size"), F.sum("members").alias("members")).where("size > most.n")
+    parts = lambda n: F.ceil(F.greatest(n / BLOCK, n / F.col("size") * F.col("members") / BLOCK_MEMBERS)).cast("int")
+    rest = near.drop("n").join(most.select("hub", F.col("most.comp").alias("main"), parts(F.col("size")).alias("ps"), parts(F.col("size") - F.col("most.n")).alias("qs")), "hub")
+    rest = scratch(rest, "open")
     if not rest.isEmpty():
         # Targets: all units of the hub; queries: those outside its main component. Either side is cut into blocks.
-        blocks = rest.withColumn("ps", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("qs", F.ceil(F.col("others") / BLOCK).cast("int"))
         own = F.xxhash64("uid", "hub")
-        targets = blocks.select("hub", F.pmod(own, F.col("ps")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "uid", "comp", F.lit(0).alias("side"))
-        queries = blocks.where("comp <> main").select("hub", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), F.pmod(own, F.col("qs")).cast("int").alias("q"), "uid", "comp", F.lit(1).alias("side"))
+        targets = rest.select("hub", F.pmod(own, F.col("ps")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "uid", "comp", F.lit(0).alias("side"))
+        queries = rest.where("comp <> main").select("hub", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), F.pmod(own, F.col("qs")).cast("int").alias("q"), "uid", "comp", F.lit(1).alias("side"))
         dealt = targets.unionByName(queries).join(members.select("uid", "sig"), "uid").join(sets, "uid")
         more = scratch(dealt.groupBy("hub", "p", "q").applyInArrow(_within(percent, shares), "a long, b long"), "links")
         if not more.isEmpty():
