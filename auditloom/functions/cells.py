@@ -101,7 +101,7 @@ def differs(x: Column, y: Column, tolerance: float = 0.0) -> Column:
 
 def luhn(c: Column) -> Column:
     """True or false for texts of digits, null for others."""
-    return F.when(full_match(c, "[0-9]+"), F.luhn_check(c.cast("string")))
+    return F.when(full_match(c, "[0-9]+"), F.call_function("luhn_check", c.cast("string")))
 
 
 def sql_name(name: str) -> str:
