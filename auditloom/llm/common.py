@@ -224,6 +224,13 @@ def partition_uid() -> Callable[[int], np.ndarray]:
     return take
 
 
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``many`` joined with ``few``, which has one row for each key: a key's rows of ``many`` are dealt by ``by`` to ``salts`` tasks."""
+    salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("__salt", salt).join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns: others, whatever their names, can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, long_array, scratch, slices
+from .common import Bitmap, long_array, scratch, slices, spread_join
 
 #: What normalising deletes: blank, tab, line feed, vertical tab, form feed, carriage return.
 DELETED = b" \t\n\x0b\x0c\r"
@@ -187,7 +187,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         F.when(F.col("bodies") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256"))).alias("group_size"),
         (-F.col("top.minus")).alias("keep_id"),
     )
-    out = hashed.join(groups, "sha", "left")
+    out = spread_join(hashed, groups, ["sha"], "doc_id", "left")
     return out.select(
         "doc_id",
         "raw",

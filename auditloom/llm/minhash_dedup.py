@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, grams, hash_strings, long_array, mix, scratch, slices, split_words, starts, texts
+from .common import Bitmap, grams, hash_strings, long_array, mix, scratch, slices, split_words, spread_join, starts, texts
 from .neardup import bands, distinct_sets, minhashes, near_duplicate_classes, set_hashes, set_rows
 
 WORDS = 5
@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal = units.groupBy("h1", "h2").agg(F.min("label").alias("own"), F.count("*").alias("size")).where("size > 1").drop("size")
     named = equal.join(linked, ["h1", "h2"], "full").select("h1", "h2", F.least("comp", "own").alias("comp"))
     comp = F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
-    out = base.drop("sig").join(named, ["h1", "h2"], "left")
+    out = spread_join(base.drop("sig"), named, ["h1", "h2"], "rk", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"), "rk")
 
 

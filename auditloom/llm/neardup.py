@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, long_array, mix, scratch
+from .common import Bitmap, long_array, mix, scratch, spread_join
 from .components import components
 
 #: Units of a hub, and members of their sets, that one task compares with as many others.
@@ -203,7 +203,7 @@ def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], Column
     each = near.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("members"))
     most = each.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size"), F.sum("members").alias("members")).where("size > most.n")
     parts = lambda n: F.ceil(F.greatest(n / BLOCK, n / F.col("size") * F.col("members") / BLOCK_MEMBERS)).cast("int")
-    rest = near.drop("n").join(most.select("hub", F.col("most.comp").alias("main"), parts(F.col("size")).alias("ps"), parts(F.col("size") - F.col("most.n")).alias("qs")), "hub")
+    rest = spread_join(near.drop("n"), most.select("hub", F.col("most.comp").alias("main"), parts(F.col("size")).alias("ps"), parts(F.col("size") - F.col("most.n")).alias("qs")), ["hub"], "uid")
     rest = scratch(rest, "open")
     if not rest.isEmpty():
         # Targets: all units of the hub; queries: those outside its main component. Either side is cut into blocks.

@@ -29,8 +29,8 @@ from .wordcache import WordCache, coded_words
 
 SEQUENCE = 2048
 END = 1
-#: Rows of one length and salt that one task ranks, about.
-RANKED = 50_000
+#: A length's rows are ranked by one task for so many rows of the table, and by SALTS at most.
+RANKED, SALTS = 1_000, 4096
 
 # --- tokens -----------------------------------------------------------------
 
@@ -344,7 +344,7 @@ def pack(docs: DataFrame, vocabulary: str) -> DataFrame:
     chosen = spark.sparkContext.broadcast(plan(histogram))
 
     # Ranks within a length: salted, so that a length which a third of all rows have is ranked by many tasks.
-    salts = max(1, min(1 << 14, sum(histogram.values()) // RANKED))
+    salts = max(1, min(SALTS, sum(histogram.values()) // RANKED))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

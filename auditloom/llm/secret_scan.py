@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spread_join
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -93,6 +95,6 @@ def secret_scan(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFram
     if ledger is not None:
         done = ledger.select("blob", "rule", "version").unionByName(done)
     by_blob = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "rule", "end"))).alias("spans"))
-    paths = rows.select("doc_id", "blob").join(by_blob, "blob", "left")
+    paths = spread_join(rows.select("doc_id", "blob"), by_blob, ["blob"], "doc_id", "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,rule:string,end:bigint>>")
     return paths.select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), found, done

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, long_array, mix, scratch, slices, starts, string_buffers, texts
+from .common import Bitmap, long_array, mix, scratch, slices, spread_join, starts, string_buffers, texts
 from .minhash_dedup import shingle_sets
 from .neardup import bands, minhashes, near_duplicate_classes, set_hashes, set_rows
 
@@ -108,7 +108,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     named = classes.join(linked, ["h1", "h2"], "left").withColumn("comp", F.coalesce("comp", F.xxhash64("h1", "h2")))
     whole = named.groupBy("comp").agg(F.min("first").alias("first"), F.sum("size").alias("size")).where("size > 1")
     kept = named.select("h1", "h2", "comp").join(whole, "comp").select("h1", "h2", "first", F.col("size").alias("cluster_size"))
-    out = base.drop("n", "sig", "rk").join(kept, ["h1", "h2"])
+    out = spread_join(base.drop("n", "sig"), kept, ["h1", "h2"], "rk")
     removed = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")))
     return out.select("doc_id", "line", "start", "n_chars", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line").alias("keep_line"), "cluster_size", removed.alias("removed"))
 
