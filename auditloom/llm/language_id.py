@@ -67,6 +67,105 @@ class Model:
         return tuple(total)
 
 
+class Scorer:
+    """``Model.word`` for many words at once.
+
+    Pieces are a trie; all words take the same step together, so a step is a
+    few array operations over the words that are still long enough.
+    """
+
+    CHUNK = 8192
+    #: Entries of a dense table of steps; a larger trie is searched instead.
+    DENSE = 1 << 24
+
+    def __init__(self, model: Model):
+        self.n_lang, self.longest = len(model.languages), model.longest
+        chars = sorted({c for p in model.pieces for c in p})
+        self.code = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        children: list[dict[int, int]] = [{}]
+        piece = [-1]
+        for k, p in enumerate(model.pieces):
+            at = 0
+            for c in self.code[[ord(c) for c in p]].tolist():
+                to = children[at].get(c)
+                if to is None:
+                    to = children[at][c] = len(children)
+                    children.append({})
+                    piece.append(-1)
+                at = to
+            piece[at] = k
+        self.piece = np.array(piece)
+        self.probability = np.array(list(model.pieces.values()), np.float64).reshape(len(model.pieces), self.n_lang)
+        steps = sorted((n * self.width + c, to) for n, edges in enumerate(children) for c, to in edges.items())
+        keys, to = np.array([k for k, _ in steps], np.int64), np.array([t for _, t in steps], np.int64)
+        self.dense = None
+        if len(children) * self.width <= self.DENSE:
+            self.dense = np.zeros(len(children) * self.width, np.int32)
+            self.dense[keys] = to
+        self.keys, self.to = np.append(keys, np.iinfo(np.int64).max), np.append(to, 0)
+
+    def _step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The next node, 0 if there is none."""
+        key = state * self.width + code
+        if self.dense is not None:
+            return self.dense[key].astype(np.int64)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], 0)
+
+    def __call__(self, words: list[str]) -> list[list[float]]:
+        parts, owner = [], []
+        for i, w in enumerate(words):
+            text = START + w
+            if len(text) <= LONGEST:
+                parts.append(text)
+                owner.append(i)
+            else:
+                cuts = range(0, len(text), LONGEST)
+                parts += [text[c : c + LONGEST] for c in cuts]
+                owner += [i] * len(cuts)
+        out = np.zeros((len(words), self.n_lang))
+        sizes, owners = np.array([len(p) for p in parts], np.int64), np.array(owner, np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        for low in range(0, len(order), self.CHUNK):
+            some = order[low : low + self.CHUNK]
+            np.add.at(out, owners[some], self._logs([parts[i] for i in some], sizes[some]))
+        return out.tolist()
+
+    def _logs(self, parts: list[str], sizes: np.ndarray) -> np.ndarray:
+        """``parts`` by falling length."""
+        n, longest = len(parts), int(sizes[0])
+        flat = self.code[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        codes = np.zeros((longest, n), np.int64)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        codes[place, np.repeat(np.arange(n), sizes)] = flat
+        over = np.array([int((sizes >= j).sum()) for j in range(longest + 1)])  # words of at least j characters come first
+        forward = np.zeros((longest + 1, n, self.n_lang))
+        forward[0] = 1.0
+        for i in range(longest):
+            at = np.arange(over[i + 1])
+            state = np.zeros(len(at), np.int64)
+            for j in range(i + 1, min(longest, i + self.longest) + 1):
+                if j > i + 1:
+                    keep = at < over[j]
+                    at, state = at[keep], state[keep]
+                state = self._step(state, codes[j - 1, at])
+                piece = np.where(state > 0, self.piece[state], -1)
+                full = piece >= 0
+                if j == i + 1:
+                    p = np.full((len(at), self.n_lang), UNKNOWN)
+                    p[full] = self.probability[piece[full]]
+                    forward[j, at] += forward[i, at] * p
+                elif full.any():
+                    forward[j, at[full]] += forward[i, at[full]] * self.probability[piece[full]]
+                live = state > 0
+                at, state = at[live], state[live]
+                if not len(at):
+                    break
+        return np.log(np.maximum(forward[sizes, np.arange(n)], 1e-300))
+
+
 def _expected(words: Counter, pieces: dict[str, float], longest: int) -> dict[str, float]:
     """Expected number of each piece over all segmentations of all words."""
     out: dict[str, float] = defaultdict(float)
@@ -108,7 +207,7 @@ def train(samples: dict[str, list[str]], vocabulary: list[str], rounds: int = RO
             total = sum(seen.values()) or 1
             p = {k: v / total for k, v in seen.items() if v / total > FLOOR}
         tables.append(p)
-    shown = {k for t in tables for k in t} | {k for k in known if len(k) == 1}
+    shown = {k for t in tables for k in t}
     return Model(languages, {k: tuple(t.get(k, FLOOR) for t in tables) for k in shown}, max(map(len, shown), default=1))
 
 
@@ -145,7 +244,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = held.value
         n_lang = len(model.languages)
         names = np.array([*model.languages, UNDETERMINED], object)
-        cache = WordCache(lambda words: [model.word(w) for w in words], 150_000)
+        cache = WordCache(Scorer(model), 150_000)
         for batch in slices(batches, "text"):
             text = pc.utf8_lower(texts(batch))
             letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
