@@ -1,11 +1,13 @@
 """Repeated paragraphs across documents: MinHash banding over paragraphs, exact Jaccard, components.
 
-A paragraph is a line. Its set holds its 5-word shingles (of words
+A paragraph is a line; its sentences, where it has several, are units too, as a
+passage may begin and end within a line. Lines are compared by similarity,
+sentences by equal sets alone. A unit's set holds its 5-word shingles (of words
 [^\\x20\\x09-\\x0D]+, with A-Z in lower case). Eight bands of two MinHash values
 let a pair of similarity 0.8 meet with probability 1 - (1 - 0.8 ** 2) ** 8 =
 0.9997; colliding paragraphs are joined, their sets compared exactly, and
 removals follow the components of the confirmed links: of each, the first
-paragraph (by document, then place) stays.
+passage (by document, then place) stays.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .neardup import bands, minhashes, near_duplicate_classes, set_hashes, set_r
 
 PERCENT = 80
 BANDS, ROWS = 8, 2
+#: What parts the sentences of a line: a stop and one blank.
+SENTENCE_END = r"[.!?]\s"
 #: Shorter lines (headings, lists, signatures) repeat by nature and stay.
 MIN_WORDS = 10
 
@@ -34,24 +38,55 @@ def paragraphs(doc_id: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(len(row)) - np.repeat(starts(n)[:-1], n), lines.flatten()
 
 
-def _long_lines(batch: pa.RecordBatch):
-    """Lines that are long enough: row, number, line, and the line's place in code points."""
-    text = texts(batch)
-    row, number, line = paragraphs(batch.column("doc_id"), text)
-    chars = pc.utf8_length(line).to_numpy(zero_copy_only=False).astype(np.int64)
-    place = starts(chars + 1)[:-1]
-    first = np.flatnonzero(number == 0)
-    place = place - np.repeat(place[first], np.diff(np.append(first, len(row)))) if len(row) else place
-    raw, offsets = string_buffers(line.cast(pa.large_string()))
+def word_counts(a: pa.Array) -> np.ndarray:
+    """Words of each text: places where a byte that isn't blank follows a blank or begins the text."""
+    raw, offsets = string_buffers(a)
+    if not len(raw):
+        return np.zeros(len(a), np.int64)
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    before = starts((~blank & np.append(True, blank[:-1])).astype(np.int64)) if len(raw) else np.zeros(1, np.int64)
-    # A word begins where a blank stood before; a line's first byte begins one too.
-    begins = before[offsets[1:]] - before[offsets[:-1]]
-    at = offsets[:-1]
-    some = np.flatnonzero(np.diff(offsets) > 0)
-    begins[some] += (~blank[at[some]] & ~np.append(True, blank[:-1])[at[some]]).astype(np.int64)
-    keep = np.flatnonzero(begins >= MIN_WORDS)
-    return row[keep], number[keep], line.take(pa.array(keep)).cast(pa.large_string()), place[keep], chars[keep], begins[keep]
+    first = np.zeros(len(raw) + 1, bool)
+    first[offsets[:-1]] = True
+    begins = ~blank & (first[:-1] | np.append(True, blank[:-1]))
+    before = starts(begins.astype(np.int64))
+    return before[offsets[1:]] - before[offsets[:-1]]
+
+
+def _within(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where each item begins in its group, from the groups' numbers of items and the items' sizes."""
+    edges = starts(counts)
+    place = starts(sizes)
+    return place[:-1] - np.repeat(place[edges[:-1]], counts)
+
+
+def _units_of(batch: pa.RecordBatch) -> dict:
+    """Lines of MIN_WORDS words or more, then the sentences so long of those lines that have several; places are code points."""
+    row, number, line = paragraphs(batch.column("doc_id"), texts(batch))
+    line = line.cast(pa.large_string())
+    chars = pc.utf8_length(line).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = _within(np.bincount(row, minlength=batch.num_rows), chars + 1)
+    n_words = word_counts(line)
+    keep = np.flatnonzero(n_words >= MIN_WORDS)
+    row, number, chars, place, n_words, line = row[keep], number[keep], chars[keep], place[keep], n_words[keep], line.take(pa.array(keep))
+
+    parts = pc.split_pattern_regex(line, SENTENCE_END)
+    several = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    sentence = parts.flatten()
+    size = pc.utf8_length(sentence).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.repeat(place, several) + _within(several, size + 2)
+    sentence = pc.utf8_rtrim(sentence, ".!?").cast(pa.large_string())
+    words = word_counts(sentence)
+    own = np.repeat(np.arange(len(row)), several)
+    some = np.flatnonzero((words >= MIN_WORDS) & (several[own] > 1))
+    short = sentence.take(pa.array(some))
+    return {
+        "lines": len(row),
+        "row": np.concatenate([row, row[own[some]]]),
+        "line": np.concatenate([number, number[own[some]]]),
+        "start": np.concatenate([place, at[some]]),
+        "n_chars": np.concatenate([chars, pc.utf8_length(short).to_numpy(zero_copy_only=False).astype(np.int64)]),
+        "n_words": np.concatenate([n_words, words[some]]),
+        "text": pa.concat_arrays([line, short]),
+    }
 
 
 def _row_keys(batch: pa.RecordBatch, row: np.ndarray, number: np.ndarray, h1: np.ndarray) -> np.ndarray:
@@ -59,41 +94,60 @@ def _row_keys(batch: pa.RecordBatch, row: np.ndarray, number: np.ndarray, h1: np
     return mix(mix(mix(ids[row]) ^ number.astype(np.uint64)) ^ h1)
 
 
+_UNITS = "doc_id long, kind string, line long, start long, n_chars long, n_words long, n long, h1 long, h2 long, rk long, sig array<long>"
+
+
 def _units(batches):
     for batch in slices(batches, "text", 4 << 20):
-        row, number, line, place, chars, n_words = _long_lines(batch)
-        s, n = shingle_sets(line)
+        u = _units_of(batch)
+        s, n = shingle_sets(u["text"])
         h1, h2 = set_hashes(s, n)
-        sig = bands(minhashes(s, starts(n), BANDS * ROWS, 2), ROWS, 3) if len(n) else np.zeros((0, BANDS), np.uint64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), long_array(sig.reshape(-1)))
-        at = pa.array(row)
+        lines = u["lines"]
+        edges = starts(n)
+        sig = bands(minhashes(s[: edges[lines]], edges[: lines + 1], BANDS * ROWS, 2), ROWS, 3) if lines else np.zeros((0, BANDS), np.uint64)
+        at = np.minimum(np.arange(len(n) + 1), lines).astype(np.int32) * BANDS  # sentences have no bands
+        lists = pa.ListArray.from_arrays(pa.array(at), long_array(sig.reshape(-1)))
+        kind = pa.array(np.where(np.arange(len(n)) < lines, "line", "sentence").tolist(), pa.string())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()).take(at), pa.array(number), pa.array(place), pa.array(chars), pa.array(n_words), pa.array(n), long_array(h1), long_array(h2), long_array(_row_keys(batch, row, number, h1)), lists],
-            names=["doc_id", "line", "start", "n_chars", "n_words", "n", "h1", "h2", "rk", "sig"],
+            [batch.column("doc_id").cast(pa.int64()).take(pa.array(u["row"])), kind, *(pa.array(u[c]) for c in ("line", "start", "n_chars", "n_words")), pa.array(n), long_array(h1), long_array(h2), long_array(_row_keys(batch, u["row"], u["line"], h1)), lists],
+            names=["doc_id", "kind", "line", "start", "n_chars", "n_words", "n", "h1", "h2", "rk", "sig"],
         )
 
 
+def _passing(held, column: str):
+    """Rows whose 64-bit ``column`` is in a bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.flatnonzero(held.value.has(batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)))
+            if len(at):
+                yield batch.take(pa.array(at))
+
+    return run
+
+
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, line, start, n_chars, n_words, keep_doc_id, keep_line, cluster_size, removed: paragraphs that have a near copy.
+    """doc_id, kind, line, start, n_chars, n_words, keep_doc_id, keep_start, cluster_size, removed: passages that have a copy.
 
-    ``docs`` has doc_id (long) and text; other columns are ignored. start and
-    n_chars are code points of the text as it is. One row for each line of at
-    least MIN_WORDS words in a component of two lines or more, kept lines too;
-    lines of one document may repeat each other. Null, empty and blank texts
-    have no lines. A null doc_id ranks last.
+    ``docs`` has doc_id (long) and text; other columns are ignored. kind is line
+    or sentence; start and n_chars are code points of the text as it is. One row
+    for each unit of at least MIN_WORDS words in a component of two or more,
+    kept ones too; units of one document may repeat each other. Null, empty and
+    blank texts have none. A null doc_id ranks last.
     """
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    base = scratch(rows.mapInArrow(_units, "doc_id long, line long, start long, n_chars long, n_words long, n long, h1 long, h2 long, rk long, sig array<long>"), "lines")
+    base = scratch(rows.mapInArrow(_units, _UNITS), "units")
 
     def sets_of(bitmap: Bitmap) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(bitmap)
+        held = spark.sparkContext.broadcast(bitmap)
 
         def fetch(batches):
             for batch in slices(batches, "text", 4 << 20):
-                row, number, line, *_ = _long_lines(batch)
-                s, n = shingle_sets(line)
+                u = _units_of(batch)
+                s, n = shingle_sets(u["text"].slice(0, u["lines"]).take(pa.array(np.arange(u["lines"]))))
                 h1, h2 = set_hashes(s, n)
-                rk = _row_keys(batch, row, number, h1)
+                rk = _row_keys(batch, u["row"][: u["lines"]], u["line"][: u["lines"]], h1)
                 keep = held.value.has(rk)
                 yield set_rows({"rk": rk[keep], "h1": h1[keep], "h2": h2[keep]}, s[np.repeat(keep, n)], n[keep])
 
@@ -102,20 +156,41 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     def keys(reps: DataFrame) -> DataFrame:
         return reps.select("uid", F.explode("sig").alias("key")).select("key", "uid")
 
-    linked = near_duplicate_classes(base.withColumn("label", F.xxhash64("h1", "h2")), keys, sets_of, PERCENT, lambda sigs, sig: (sigs == sig).any(axis=1))
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "line")
+    lines = base.where("kind = 'line'").withColumn("label", F.xxhash64("h1", "h2"))
+    linked = near_duplicate_classes(lines, keys, sets_of, PERCENT, lambda sigs, sig: (sigs == sig).any(axis=1))
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "start", "n_chars")
     classes = base.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("size"))
-    named = classes.join(linked, ["h1", "h2"], "left").withColumn("comp", F.coalesce("comp", F.xxhash64("h1", "h2")))
+    named = classes.join(linked, ["h1", "h2"], "left").where("size > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", F.xxhash64("h1", "h2")))
+    named = scratch(named, "classes")
     whole = named.groupBy("comp").agg(F.min("first").alias("first"), F.sum("size").alias("size")).where("size > 1")
     kept = named.select("h1", "h2", "comp").join(whole, "comp").select("h1", "h2", "first", F.col("size").alias("cluster_size"))
-    out = spread_join(base.drop("n", "sig"), kept, ["h1", "h2"], "rk")
-    removed = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")))
-    return out.select("doc_id", "line", "start", "n_chars", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line").alias("keep_line"), "cluster_size", removed.alias("removed"))
+    # Most units have no copy: the bitmap drops them before the join.
+    held = spark.sparkContext.broadcast(Bitmap.collect(named, "h1"))
+    narrow = base.drop("n", "sig")
+    out = spread_join(narrow.mapInArrow(_passing(held, "h1"), narrow.schema), kept, ["h1", "h2"], "rk")
+    removed = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("n_chars") == F.col("first.n_chars")))
+    return out.select("doc_id", "kind", "line", "start", "n_chars", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), "cluster_size", removed.alias("removed"))
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
-    """doc_id and text of each row without its removed lines."""
-    gone = repeated_paragraphs(docs).where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    """doc_id and text of each row without its removed passages; a removed line goes with its line feed."""
+    gone = repeated_paragraphs(docs).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n_chars", "kind"))).alias("gone"))
     rows = docs.select("doc_id", "text").join(gone, "doc_id", "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<long>")), i.cast("long")))
-    return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")).alias("text"))
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                if spans and text is not None:
+                    parts, at = [], 0
+                    for x in spans:
+                        a, b = x["start"], x["start"] + x["n_chars"]
+                        if x["kind"] == "line":
+                            a, b = (a, b + 1) if b < len(text) else (max(0, a - 1), b)
+                        parts.append(text[at : max(at, a)])
+                        at = max(at, b)
+                    text = "".join(parts) + text[at:]
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    return rows.mapInArrow(cut, "doc_id long, text string")

@@ -156,12 +156,18 @@ def test_repeated_paragraphs(spark, awkward, empty):
     near[30] = "changed"
     docs = [(1, words_of(rng, 40) + "\n" + passage), (2, passage + "\nshort line"), (3, words_of(rng, 30) + "\n" + " ".join(near) + "\n" + words_of(rng, 25)), (4, words_of(rng, 70))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted((r.doc_id, r.line, r.keep_doc_id, r.keep_line, r.cluster_size, r.removed) for r in repeated_paragraphs(df).collect())
-    assert got == [(1, 1, 1, 1, 3, False), (2, 0, 1, 1, 3, True), (3, 1, 1, 1, 3, True)]
+    got = sorted((r.doc_id, r.kind, r.line, r.keep_doc_id, r.cluster_size, r.removed) for r in repeated_paragraphs(df).collect())
+    assert got == [(1, "line", 1, 1, 3, False), (2, "line", 0, 1, 3, True), (3, "line", 1, 1, 3, True)]
     for r in repeated_paragraphs(df).collect():
         text = dict(docs)[r.doc_id]
         assert text[r.start : r.start + r.n_chars] == text.split("\n")[r.line]
     left = {r.doc_id: r.text for r in remove_repeated(df).collect()}
+    inside = words_of(rng, 12) + ". " + words_of(rng, 14) + ". " + words_of(rng, 11)
+    held = [(7, words_of(rng, 30) + " " + inside + " " + words_of(rng, 20)), (8, words_of(rng, 9) + " " + inside + " " + words_of(rng, 50) + "\n" + words_of(rng, 12))]
+    both = spark.createDataFrame(held, "doc_id long, text string")
+    found = sorted((r.doc_id, dict(held)[r.doc_id][r.start : r.start + r.n_chars]) for r in repeated_paragraphs(both).collect())
+    assert found == [(7, inside.split(". ")[1]), (8, inside.split(". ")[1])]
+    assert {r.doc_id: r.text for r in remove_repeated(both).collect()} == {7: held[0][1], 8: held[1][1].replace(inside.split(". ")[1], "")}
     assert left[1] == docs[0][1] and left[2] == "short line" and left[4] == docs[3][1]
     assert repeated_paragraphs(empty).count() == 0
     assert {r.doc_id for r in repeated_paragraphs(awkward).collect()} <= {6, 7}
