@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _BITMAP_BITS = 1 << 26
-_live: list[str] = []
 
 
 # --- scratch tables ---------------------------------------------------------
@@ -50,18 +49,9 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    _live.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far; only once every result built on them has been written."""
-    for path in _live:
-        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
-    _live.clear()
-
-
 # --- Arrow ------------------------------------------------------------------
 
 
@@ -179,9 +169,6 @@ class Bitmap:
         mask = U64(_BITMAP_BITS - 1)
         return h & mask, (h >> U64(32)) & mask
 
-    def __contains__(self, keys):  # pragma: no cover - numpy users call has()
-        raise TypeError("use has()")
-
     def has(self, keys: np.ndarray) -> np.ndarray:
         one = U64(1)
         a, b = self._bits(keys)
@@ -203,9 +190,9 @@ class Bitmap:
                 part = at[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(part), long_array(seen[part])], names=["at", "word"])
 
-        rows = df.select(F.col(key).alias("k")).mapInArrow(bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+        rows = df.select(F.col(key).alias("k")).mapInArrow(bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
         words = np.zeros(_BITMAP_BITS >> 6, np.uint64)
-        words[rows["at"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64).view(np.uint64)
+        words[rows.column("at").to_numpy()] = rows.column("word").to_numpy().view(np.uint64)
         return Bitmap(words)
 
 

@@ -205,7 +205,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(*own, F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__raw"))
-    judged = exact_duplicates(keyed.select("doc_id", "text"))
+    judged = scratch(exact_duplicates(keyed.select("doc_id", "text")), "judged")
     gone = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).distinct()
     left = keyed.join(gone, ["__id", "__raw"], "left_anti")
     again = judged.where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).count().where("count > 1").drop("count")
