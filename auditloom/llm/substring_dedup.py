@@ -1,13 +1,19 @@
-"""Repeated paragraphs across documents: MinHash banding over paragraphs, exact Jaccard, components.
-
-A paragraph is a line; its sentences, where it has several, are units too, as a
-passage may begin and end within a line. Lines are compared by similarity,
-sentences by equal sets alone. A unit's set holds its 5-word shingles (of words
-[^\\x20\\x09-\\x0D]+, with A-Z in lower case). Eight bands of two MinHash values
-let a pair of similarity 0.8 meet with probability 1 - (1 - 0.8 ** 2) ** 8 =
-0.9997; colliding paragraphs are joined, their sets compared exactly, and
-removals follow the components of the confirmed links: of each, the first
-passage (by document, then place) stays.
+"""Repeated passages across documents: units compared by similarity, and every shared run of RUN words.
+
+A paragraph is a line, or neighbouring lines that are hard-wrapped; the
+sentences of a line, where it has several, are units too. A unit's set holds its
+5-word shingles (of words [^\\x20\\x09-\\x0D]+, with A-Z in lower case). Eight
+bands of two MinHash values let a pair of similarity 0.8 meet with probability
+1 - (1 - 0.8 ** 2) ** 8 = 0.9997; colliding units are joined, their sets
+compared exactly, and removals follow the components of the confirmed links: of
+each, the first passage (by document, then place) stays.
+
+A passage may begin anywhere, so each RUN words in a row are compared as well,
+over the whole text, whatever its lines. RUN words hold RUN - SEED + 1 runs of
+SEED words; equal ones have the same least hash among these, so only windows
+whose least hash occurs twice or more are written out and grouped by a 64-bit
+hash. Windows that have a copy and lie on one diagonal make one run, which so
+reaches as far as the words agree.
 """
 
 from __future__ import annotations
@@ -15,11 +21,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, long_array, mix, scratch, slices, spread_join, starts, string_buffers, texts
-from .minhash_dedup import shingle_sets
+from .common import _POWERS, Bitmap, hash_strings, long_array, mix, scratch, slices, split_words, spread_join, starts, string_buffers, texts
+from .minhash_dedup import row_keys, shingle_sets
 from .neardup import bands, minhashes, near_duplicate_classes, set_hashes, set_rows
 
 PERCENT = 80
@@ -28,6 +34,10 @@ BANDS, ROWS = 8, 2
 SENTENCE_END = r"[.!?]\s"
 #: Shorter lines (headings, lists, signatures) repeat by nature and stay.
 MIN_WORDS = 10
+#: Neighbouring lines of fewer words are a hard-wrapped paragraph, taken as one unit.
+WRAPPED = 20
+#: Any run of so many words that occurs twice is found; SEED words of it are looked up first.
+RUN, SEED = 50, 26
 
 
 def paragraphs(doc_id: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -59,12 +69,13 @@ def _within(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _units_of(batch: pa.RecordBatch) -> dict:
-    """Lines of MIN_WORDS words or more, then the sentences so long of those lines that have several; places are code points."""
+    """Lines of MIN_WORDS words or more, hard-wrapped paragraphs, and sentences of lines that have several; places are code points."""
     row, number, line = paragraphs(batch.column("doc_id"), texts(batch))
     line = line.cast(pa.large_string())
     chars = pc.utf8_length(line).to_numpy(zero_copy_only=False).astype(np.int64)
     place = _within(np.bincount(row, minlength=batch.num_rows), chars + 1)
     n_words = word_counts(line)
+    wrapped = _wrapped(row, number, line, chars, place, n_words)
     keep = np.flatnonzero(n_words >= MIN_WORDS)
     row, number, chars, place, n_words, line = row[keep], number[keep], chars[keep], place[keep], n_words[keep], line.take(pa.array(keep))
 
@@ -79,22 +90,38 @@ def _units_of(batch: pa.RecordBatch) -> dict:
     some = np.flatnonzero((words >= MIN_WORDS) & (several[own] > 1))
     short = sentence.take(pa.array(some))
     return {
-        "lines": len(row),
-        "row": np.concatenate([row, row[own[some]]]),
-        "line": np.concatenate([number, number[own[some]]]),
-        "start": np.concatenate([place, at[some]]),
-        "n_chars": np.concatenate([chars, pc.utf8_length(short).to_numpy(zero_copy_only=False).astype(np.int64)]),
-        "n_words": np.concatenate([n_words, words[some]]),
-        "text": pa.concat_arrays([line, short]),
+        "kind": ["line"] * len(row) + ["paragraph"] * len(wrapped["row"]) + ["sentence"] * len(some),
+        "row": np.concatenate([row, wrapped["row"], row[own[some]]]),
+        "line": np.concatenate([number, wrapped["line"], number[own[some]]]),
+        "start": np.concatenate([place, wrapped["start"], at[some]]),
+        "n_chars": np.concatenate([chars, wrapped["n_chars"], pc.utf8_length(short).to_numpy(zero_copy_only=False).astype(np.int64)]),
+        "n_words": np.concatenate([n_words, wrapped["n_words"], words[some]]),
+        "text": pa.concat_arrays([line, wrapped["text"], short]),
     }
 
 
+def _wrapped(row: np.ndarray, number: np.ndarray, line: pa.Array, chars: np.ndarray, place: np.ndarray, n_words: np.ndarray) -> dict:
+    """Neighbouring lines of 1 to WRAPPED - 1 words, two or more, that have MIN_WORDS words together."""
+    some = (n_words > 0) & (n_words < WRAPPED)
+    goes_on = np.append(False, some[1:] & some[:-1] & (row[1:] == row[:-1])) if len(row) else some
+    first = np.flatnonzero(some & ~goes_on)
+    last = np.flatnonzero(some & ~np.append(goes_on[1:], False)) if len(row) else first
+    words = starts(n_words)
+    several = (last > first) & (words[last + 1] - words[first] >= MIN_WORDS)
+    first, last = first[several], last[several]
+    n = last - first + 1
+    edges = starts(n)
+    lines = line.take(pa.array(np.repeat(first, n) + np.arange(edges[-1]) - np.repeat(edges[:-1], n)))
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), lines), pa.scalar("\n", pa.large_string()))
+    return {"row": row[first], "line": number[first], "start": place[first], "n_chars": place[last] + chars[last] - place[first], "n_words": words[last + 1] - words[first], "text": text.cast(pa.large_string())}
+
+
 def _row_keys(batch: pa.RecordBatch, row: np.ndarray, number: np.ndarray, h1: np.ndarray) -> np.ndarray:
     ids = pc.fill_null(batch.column("doc_id").cast(pa.int64()), -1).to_numpy(zero_copy_only=False).astype(np.uint64)
     return mix(mix(mix(ids[row]) ^ number.astype(np.uint64)) ^ h1)
 
 
-_UNITS = "doc_id long, kind string, line long, start long, n_chars long, n_words long, n long, h1 long, h2 long, rk long, sig array<long>"
+_UNITS = "doc_id long, doc long, kind string, line long, start long, n_chars long, n_words long, n long, h1 long, h2 long, rk long, sig array<long>"
 
 
 def _units(batches):
@@ -102,18 +129,123 @@ def _units(batches):
         u = _units_of(batch)
         s, n = shingle_sets(u["text"])
         h1, h2 = set_hashes(s, n)
-        lines = u["lines"]
-        edges = starts(n)
-        sig = bands(minhashes(s[: edges[lines]], edges[: lines + 1], BANDS * ROWS, 2), ROWS, 3) if lines else np.zeros((0, BANDS), np.uint64)
-        at = np.minimum(np.arange(len(n) + 1), lines).astype(np.int32) * BANDS  # sentences have no bands
-        lists = pa.ListArray.from_arrays(pa.array(at), long_array(sig.reshape(-1)))
-        kind = pa.array(np.where(np.arange(len(n)) < lines, "line", "sentence").tolist(), pa.string())
+        full, edges = np.flatnonzero(n), starts(n[n > 0])
+        sig = np.zeros((len(n), BANDS), np.uint64)
+        if len(full):
+            sig[full] = bands(minhashes(s, edges, BANDS * ROWS, 2), ROWS, 3)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), long_array(sig.reshape(-1)))
+        kind = pa.array(u["kind"], pa.string())
+        doc = row_keys(batch.column("doc_id"), texts(batch))[u["row"]]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()).take(pa.array(u["row"])), kind, *(pa.array(u[c]) for c in ("line", "start", "n_chars", "n_words")), pa.array(n), long_array(h1), long_array(h2), long_array(_row_keys(batch, u["row"], u["line"], h1)), lists],
-            names=["doc_id", "kind", "line", "start", "n_chars", "n_words", "n", "h1", "h2", "rk", "sig"],
+            [batch.column("doc_id").cast(pa.int64()).take(pa.array(u["row"])), long_array(doc), kind, *(pa.array(u[c]) for c in ("line", "start", "n_chars", "n_words")), pa.array(n), long_array(h1), long_array(h2), long_array(_row_keys(batch, u["row"], u["line"], h1)), lists],
+            names=["doc_id", "doc", "kind", "line", "start", "n_chars", "n_words", "n", "h1", "h2", "rk", "sig"],
         )
 
 
+def _sums(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of ``k`` word hashes at its first place, by doubling; len(h) - k + 1 of them."""
+    m = max(len(h) - k + 1, 0)
+    out, power, size, at = np.zeros(m, np.uint64), h, 1, 0
+    while at < k:
+        if k & size:
+            out += power[at : at + m] * (_POWERS[at - 1] if at else np.uint64(1))
+            at += size
+        power = power[:-size] + power[size:] * _POWERS[size - 1] if len(power) > size else power[:0]
+        size *= 2
+    return mix(out)
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """Least of each ``width`` neighbours."""
+    size = 1
+    while size * 2 <= width:
+        x, size = np.minimum(x[:-size], x[size:]), size * 2
+    rest = width - size
+    return np.minimum(x[:-rest], x[rest:]) if rest else x
+
+
+def _windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes of all texts, word where each window of RUN words begins, its text, the least hash of its runs of SEED words)."""
+    words, counts = split_words(text)
+    h = hash_strings(words)
+    if len(h) < RUN:
+        return h, *(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64))
+    room = np.arange(len(h)) + RUN <= np.repeat(starts(counts)[1:], counts)
+    at = np.flatnonzero(room)
+    return h, at, np.repeat(np.arange(len(counts)), counts)[at], _least(_sums(h, SEED), RUN - SEED + 1)[at]
+
+
+def _seeds(batches):
+    """The least hashes, once for each place: one place is least in so many neighbouring windows at most."""
+    for batch in slices(batches, "text", 4 << 20):
+        _, at, row, low = _windows(texts(batch))
+        if len(at):
+            new = np.append(True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]))
+            first = np.flatnonzero(new)
+            step = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            yield pa.RecordBatch.from_arrays([long_array(low[step % (RUN - SEED + 1) == 0])], names=["seed"])
+
+
+def _word_places(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first code point of each word, the one after its last, number of the word in its text)."""
+    raw, offsets = string_buffers(text)
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    first = np.flatnonzero(~blank & (edge[:-1] | np.append(True, blank[:-1])))
+    last = np.flatnonzero(~blank & (edge[1:] | np.append(blank[1:], True))) + 1
+    points = starts(((raw & 0xC0) != 0x80).astype(np.int64))
+    row = np.searchsorted(offsets, first, "right") - 1
+    counts = np.bincount(row, minlength=len(offsets) - 1)
+    return points[first] - points[offsets[row]], points[last] - points[offsets[row]], np.arange(len(first)) - np.repeat(starts(counts)[:-1], counts)
+
+
+def _candidates(held):
+    """Windows whose least hash is in a bitmap."""
+
+    def run(batches):
+        for batch in slices(batches, "text", 4 << 20):
+            text = texts(batch)
+            h, at, row, low = _windows(text)
+            some = np.flatnonzero(held.value.has(low))
+            if not len(some):
+                continue
+            at, row = at[some], row[some]
+            first, last, number = _word_places(text)
+            ids = batch.column("doc_id").cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [long_array(_sums(h, RUN)[at]), ids.take(pa.array(row)), long_array(row_keys(ids, text)[row]), pa.array(number[at]), pa.array(first[at]), pa.array(last[at + RUN - 1])],
+                names=["h", "doc_id", "doc", "at", "start", "stop"],
+            )
+
+    return run
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Runs of RUN words or more that occur twice, in the columns of the units; line is null."""
+    spark = rows.sparkSession
+    seeds = rows.mapInArrow(_seeds, "seed long").groupBy("seed").count().where("count > 1")
+    held = spark.sparkContext.broadcast(Bitmap.collect(seeds, "seed"))
+    windows = scratch(rows.mapInArrow(_candidates(held), "h long, doc_id long, doc long, at long, start long, stop long"), "windows")
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "start")
+    copies = scratch(windows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1"), "copies")
+    passed = spark.sparkContext.broadcast(Bitmap.collect(copies, "h"))
+    found = spread_join(windows.mapInArrow(_passing(passed, "h"), windows.schema), copies, ["h"], "doc")
+    own = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    found = found.select("doc_id", "doc", "at", "start", "stop", F.col("first.doc_id").alias("keep"), (F.col("start") - F.col("first.start")).alias("shift"), "size")
+    # A window that overlaps the one it repeats is no second copy.
+    found = found.where((F.col("keep") != own) | (F.col("shift") == 0) | (F.col("start") - F.col("shift") + (F.col("stop") - F.col("start")) <= F.col("start")))
+    side = Window.partitionBy("doc", "doc_id", "keep", "shift")
+    apart = (F.col("at") > F.lag("at").over(side.orderBy("at")) + RUN).cast("int")
+    found = found.withColumn("island", F.sum(F.coalesce(apart, F.lit(0))).over(side.orderBy("at")))
+    runs = found.groupBy("doc", "doc_id", "keep", "shift", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("at") - F.min("at") + RUN).alias("n_words"), F.max("size").alias("cluster_size"))
+    removed = ~((F.col("keep") == own) & (F.col("shift") == 0))
+    return runs.select(
+        "doc_id", "doc", F.lit("run").alias("kind"), F.lit(None).cast("long").alias("line"), "start", (F.col("stop") - F.col("start")).alias("n_chars"), "n_words",
+        F.col("keep").alias("keep_doc_id"), (F.col("start") - F.col("shift")).alias("keep_start"), "cluster_size", removed.alias("removed"),
+    )
+
+
 def _passing(held, column: str):
     """Rows whose 64-bit ``column`` is in a bitmap."""
 
@@ -129,11 +261,14 @@ def _passing(held, column: str):
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, kind, line, start, n_chars, n_words, keep_doc_id, keep_start, cluster_size, removed: passages that have a copy.
 
-    ``docs`` has doc_id (long) and text; other columns are ignored. kind is line
-    or sentence; start and n_chars are code points of the text as it is. One row
-    for each unit of at least MIN_WORDS words in a component of two or more,
-    kept ones too; units of one document may repeat each other. Null, empty and
-    blank texts have none. A null doc_id ranks last.
+    ``docs`` has doc_id (long) and text; other columns are ignored. kind is
+    line, paragraph (hard-wrapped lines; line is the first of them), sentence or
+    run (line is null); start and n_chars are code points of the text as it is.
+    One row for each unit of at least MIN_WORDS words in a component of two or
+    more, kept ones too, and for each run of RUN words or more that has a copy,
+    unless it lies within such a unit (a removed run: within a removed one).
+    Passages of one document may repeat each other. Null, empty and blank texts
+    have none. A null doc_id ranks last.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
@@ -145,9 +280,9 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
         def fetch(batches):
             for batch in slices(batches, "text", 4 << 20):
                 u = _units_of(batch)
-                s, n = shingle_sets(u["text"].slice(0, u["lines"]).take(pa.array(np.arange(u["lines"]))))
+                s, n = shingle_sets(u["text"])
                 h1, h2 = set_hashes(s, n)
-                rk = _row_keys(batch, u["row"][: u["lines"]], u["line"][: u["lines"]], h1)
+                rk = _row_keys(batch, u["row"], u["line"], h1)
                 keep = held.value.has(rk)
                 yield set_rows({"rk": rk[keep], "h1": h1[keep], "h2": h2[keep]}, s[np.repeat(keep, n)], n[keep])
 
@@ -156,8 +291,8 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     def keys(reps: DataFrame) -> DataFrame:
         return reps.select("uid", F.explode("sig").alias("key")).select("key", "uid")
 
-    lines = base.where("kind = 'line'").withColumn("label", F.xxhash64("h1", "h2"))
-    linked = near_duplicate_classes(lines, keys, sets_of, PERCENT, lambda sigs, sig: (sigs == sig).any(axis=1))
+    units = base.where("n > 0").withColumn("label", F.xxhash64("h1", "h2"))
+    linked = near_duplicate_classes(units, keys, sets_of, PERCENT, lambda sigs, sig: (sigs == sig).any(axis=1))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "start", "n_chars")
     classes = base.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("size"))
     named = classes.join(linked, ["h1", "h2"], "left").where("size > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", F.xxhash64("h1", "h2")))
@@ -169,7 +304,15 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     narrow = base.drop("n", "sig")
     out = spread_join(narrow.mapInArrow(_passing(held, "h1"), narrow.schema), kept, ["h1", "h2"], "rk")
     removed = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("n_chars") == F.col("first.n_chars")))
-    return out.select("doc_id", "kind", "line", "start", "n_chars", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), "cluster_size", removed.alias("removed"))
+    units = out.select("doc_id", "doc", "kind", "line", "start", "n_chars", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), "cluster_size", removed.alias("removed"))
+    # Runs within a unit that is reported say nothing new.
+    both = units.unionByName(_runs(rows)).withColumn("stop", F.col("start") + F.col("n_chars"))
+    before = Window.partitionBy("doc", "doc_id").orderBy("start", F.desc("stop"))
+    of = lambda which: F.coalesce(F.max(F.when(which, F.col("stop"))).over(before), F.lit(-1))
+    is_unit = F.col("kind") != "run"
+    both = both.select("*", of(is_unit).alias("held"), of(is_unit & F.col("removed")).alias("gone"))
+    left = both.where(is_unit | (F.col("stop") > F.when(F.col("removed"), F.col("gone")).otherwise(F.col("held"))))
+    return left.drop("doc", "stop", "held", "gone")
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
@@ -185,7 +328,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
                     parts, at = [], 0
                     for x in spans:
                         a, b = x["start"], x["start"] + x["n_chars"]
-                        if x["kind"] == "line":
+                        if x["kind"] in ("line", "paragraph"):
                             a, b = (a, b + 1) if b < len(text) else (max(0, a - 1), b)
                         parts.append(text[at : max(at, a)])
                         at = max(at, b)

@@ -173,6 +173,36 @@ def test_repeated_paragraphs(spark, awkward, empty):
     assert {r.doc_id for r in repeated_paragraphs(awkward).collect()} <= {6, 7}
 
 
+def test_shared_runs_wherever_they_begin(spark):
+    rng = np.random.default_rng(8)
+
+    def wrap(words, n):
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+    shared = words_of(rng, 57, 1 << 30).split()
+    short = [w + "." if i % 4 == 3 else w for i, w in enumerate(words_of(rng, 52, 1 << 30).split())]
+    para = words_of(rng, 90, 1 << 30).split()
+    near = [*para[:45], "changed", *para[46:]]
+    around = [words_of(rng, 40, 1 << 30) for _ in range(8)]
+    docs = [
+        (1, around[0] + " " + " ".join(shared) + " " + around[1]),
+        (2, around[2] + "\u00e9 " + wrap(shared, 7) + " " + around[3]),
+        (3, around[4] + " " + " ".join(short) + " " + around[5]),
+        (4, around[6] + " " + " ".join(short) + " " + around[7]),
+        (5, wrap(para, 8)),
+        (6, "Head\n\n" + wrap(near, 9) + "\n\nFoot"),
+        (7, " ".join(shared[:49])),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = repeated_paragraphs(df).collect()
+    runs = {r.doc_id: (dict(docs)[r.doc_id][r.start : r.start + r.n_chars].split(), r.n_words, r.keep_doc_id, r.removed) for r in got if r.kind == "run"}
+    assert runs == {1: (shared, 57, 1, False), 2: (shared, 57, 1, True), 3: (short, 52, 3, False), 4: (short, 52, 3, True)}
+    assert sorted((r.doc_id, r.removed) for r in got if r.kind == "paragraph") == [(5, False), (6, True)]
+    left = {r.doc_id: r.text.split() for r in remove_repeated(df).collect()}
+    assert left[2] == (around[2] + "\u00e9 " + around[3]).split() and left[4] == (around[6] + " " + around[7]).split() and left[6] == ["Head", "Foot"]
+    assert left[7] == shared[:49]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.text("abc", min_size=1, max_size=4), max_size=12), st.text("abcd", max_size=25))
 def test_longest_match_equals_greedy(pieces, word):
