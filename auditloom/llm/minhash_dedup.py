@@ -4,7 +4,8 @@ Plain banding with T tables of r rows needs T * r MinHash values. Here two
 small collections of M bands are formed, and each of the M * M tables is
 keyed by one band of either: 2 * M * R values serve M * M tables of 2 * R
 rows. A pair of similarity s meets in some table with probability
-(1 - (1 - s ** R) ** M) ** 2; with the values below that is 0.99998 at 0.85.
+(1 - (1 - s ** R) ** M) ** 2; with the values below that is 0.99998 at 0.85 and
+0.9998 at 0.8.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .neardup import bands, distinct_sets, minhashes, near_duplicate_classes, se
 
 WORDS = 5
 PERCENT = 85
+#: Similarity from which the pipeline's stage takes documents for near copies.
+STAGE_PERCENT = 80
 #: Bands of a collection, and MinHash values of a band.
 M, R = 9, 2
 
@@ -75,11 +78,11 @@ def _shares(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return same[:, :M].any(axis=1) & same[:, M:].any(axis=1)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, rk: one row for each row of ``docs`` (doc_id long, text; others are ignored).
 
     Links join documents whose sets of 5-word shingles have 100 * common >=
-    85 * union; component_id is the least doc_id that links reach, kept is
+    percent * union; component_id is the least doc_id that links reach, kept is
     doc_id = component_id. A null or blank text has no shingles and is linked
     with nothing. Rows that repeat a doc_id are linked by their own texts; a
     null doc_id ranks last and is kept only if its whole component has none.
@@ -104,7 +107,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return rows.mapInArrow(fetch, "rk long, h1 long, h2 long, body binary")
 
     units = base.where("n > 0").withColumn("label", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    linked = near_duplicate_classes(units, _keys, sets_of, PERCENT, _shares)
+    linked = near_duplicate_classes(units, _keys, sets_of, percent, _shares)
     # Equal sets are linked without any candidate.
     equal = units.groupBy("h1", "h2").agg(F.min("label").alias("own"), F.count("*").alias("size")).where("size > 1").drop("size")
     named = equal.join(linked, ["h1", "h2"], "full").select("h1", "h2", F.least("comp", "own").alias("comp"))
@@ -113,8 +116,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"), "rk")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """One row of each component: the one with the least doc_id. Rows with a null doc_id stay."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
+    gone = near_duplicates(docs, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
     return docs.withColumn("__id", F.col("doc_id")).join(gone, "__id", "left_anti").select(*own)

@@ -393,6 +393,25 @@ def test_secret_spans_and_ledger(spark, awkward, empty):
     assert secret_scan.secret_scan(awkward)[0].count() == awkward.count() and secret_scan.secret_scan(empty)[0].count() == 0
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    base = words_of(rng, 200, 1 << 30).split()
+
+    def changed(n):
+        return " ".join("other" if i % 40 == 20 and i // 40 < n else w for i, w in enumerate(base))
+
+    rows = [(0, " ".join(base)), (1, changed(4)), (2, words_of(rng, 200, 1 << 30)), (3, changed(5))]
+    a, b, c = shingles(rows[0][1]), shingles(rows[1][1]), shingles(rows[3][1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.8 <= len(b & c) / len(b | c)
+    df = spark.createDataFrame(rows[:3], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, df, "").collect()} == {0, 2}
+    assert {r.doc_id for r in near_duplicates(df).where("kept").collect()} == {0, 1, 2}
+    chain = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, chain, "").collect()} == {0, 2}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
