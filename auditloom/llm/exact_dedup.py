@@ -170,7 +170,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     counts as the empty text, and all empty texts are copies of each other. Of
     equal texts the row with the most code points stays, then the smallest
     doc_id; rows that repeat both text and doc_id are all marked kept. A null
-    doc_id is ranked last and never equals a keep_id. An empty table gives an
+    doc_id is ranked last, however long its text, and never equals a keep_id. An empty table gives an
     empty result.
     """
     spark = docs.sparkSession
@@ -180,7 +180,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     bitmap = spark.sparkContext.broadcast(Bitmap.collect(repeated, "fp"))
     routed = rows.mapInArrow(_routed(bitmap), "doc_id long, sha binary, body binary, chars long")
     # The body is a grouping key: equality is that of bytes, not of a hash.
-    verified = routed.groupBy("sha", "body").agg(F.count("*").alias("n"), F.max(F.struct("chars", (-F.col("doc_id")).alias("minus"))).alias("top"))
+    verified = routed.groupBy("sha", "body").agg(F.count("*").alias("n"), F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "chars", (-F.col("doc_id")).alias("minus"))).alias("top"))
     groups = verified.groupBy("sha").agg(F.sum("n").alias("group_size"), F.max("top").alias("top"), F.count("*").alias("bodies"))
     groups = groups.where("group_size > 1").select(
         "sha",
@@ -201,13 +201,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text another row stands for; of rows equal in doc_id and text, one stays.
 
-    Rows are told apart by doc_id and text, so rows that share a doc_id are judged one by one.
+    Rows are told apart by doc_id and text, so rows that share a doc_id are judged one by one. Rows with a null doc_id go
+    where a row that has one stands for them; copies among themselves alone all stay.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(*own, F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__raw"))
     judged = scratch(exact_duplicates(keyed.select("doc_id", "text")), "judged")
-    gone = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).distinct()
-    left = keyed.join(gone, ["__id", "__raw"], "left_anti")
+    gone = judged.where(~F.col("kept") & F.col("keep_id").isNotNull()).select(F.col("doc_id").alias("__gone_id"), F.col("raw").alias("__gone_raw")).distinct()
+    left = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__raw") == F.col("__gone_raw")), "left_anti")
     again = judged.where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).count().where("count > 1").drop("count")
     if again.isEmpty():
         return left.select(*own)

@@ -100,6 +100,14 @@ def test_exact_duplicates_against_brute_force(spark, awkward, empty):
     assert len({t for _, t in ids}) == len(ids) == len({norm(t) for i, t in rows})
 
 
+def test_longest_copy_without_doc_id_keeps_no_group(spark):
+    rows = [(None, "a b  c"), (1, "a b c"), (2, "abc"), (3, "a bc"), (None, "only"), (4, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(df).collect()}
+    assert got == {(None, 1, 4, False), (1, 1, 4, True), (2, 1, 4, False), (3, 1, 4, False), (None, None, 1, False), (4, 4, 1, True)}
+    assert {tuple(r) for r in drop_exact_duplicates(df).collect()} == {(1, "a b c"), (None, "only"), (4, "other")}
+
+
 def shingles(t):
     w = [x for x in re.split("[\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
