@@ -37,7 +37,8 @@ BOILERPLATE = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+#: Every attribute, so that a name is never looked for in another's name or value.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -63,7 +64,7 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
         if name == "role":
             if value.lower() in ROLES:
                 return True
-        elif not BOILERPLATE.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
+        elif name in ("class", "id") and not BOILERPLATE.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
             return True
     return False
 

@@ -381,6 +381,14 @@ SECRET = [
 ]
 
 
+def test_attributes_are_read_from_their_starts():
+    text = "A long enough paragraph of main text, with several plain words in it."
+    for attributes in ('title="a hidden gem"', "data-id=menu", 'data-x="class=nav "', "alt='the id=menu role=search'"):
+        assert html_extract.main_text(f"<body><div {attributes}><p>{text}</p></div></body>") == text
+    for attributes in ("hidden", "HIDDEN=''", 'title="x" class="nav"', "id=menu", "role='search'", "aria-hidden=true"):
+        assert html_extract.main_text(f"<body><div><p>{text}</p></div><div {attributes}><p>Cut this away.</p></div></body>") == text
+
+
 def brute_spans(text):
     rules = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
     return sorted((m.start(), k, name, m.end()) for k, (name, p, g, least) in enumerate(rules) for m in p.finditer(text) if len(m[g]) >= least)
