@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,24 +33,50 @@ _BITMAP_BITS = 1 << 26
 # --- scratch tables ---------------------------------------------------------
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests, one machine)."""
+    """``spark.checkpoint.dir``; where it isn't set, a temporary folder, but only if driver and executors are one process.
+
+    On a cluster a folder of one machine would lose rows, so its absence is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="auditloom-")
-        atexit.register(shutil.rmtree, root[len("file://") :], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_ROOTS:
+        folder = tempfile.mkdtemp(prefix="auditloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_ROOTS[context.applicationId] = "file://" + folder
+    return _LOCAL_ROOTS[context.applicationId]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again."""
+    """Write ``df`` to the shared folder and read it again; the table goes with the session, or by ``discard``."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/auditloom-{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    files, hpath = _hadoop(spark, path)
+    files.deleteOnExit(hpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing still to be computed reads."""
+    for df in tables:
+        if path := getattr(df, "_scratch_path", None):
+            files, hpath = _hadoop(df.sparkSession, path)
+            files.delete(hpath, True)
 
 
 # --- Arrow ------------------------------------------------------------------
@@ -211,9 +238,9 @@ def partition_uid() -> Callable[[int], np.ndarray]:
     return take
 
 
-def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: str | list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """``many`` joined with ``few``, which has one row for each key: a key's rows of ``many`` are dealt by ``by`` to ``salts`` tasks."""
-    salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*([by] if isinstance(by, str) else by)), F.lit(salts)).cast("int")
     copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return many.withColumn("__salt", salt).join(copies, [*keys, "__salt"], how).drop("__salt")
 
@@ -225,3 +252,47 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 
 def blank_text(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
+
+
+# --- rows -------------------------------------------------------------------
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, raw (64 bits of the text as it is) and text: what names a row where ids repeat or are null."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(blank_text()).alias("raw"), F.col("text").cast("string").alias("text"))
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """row (all columns as one, so that no helper's name can clash with theirs), doc_id, raw."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(blank_text()).alias("raw"))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text are in ``gone`` (doc_id, raw); a null doc_id equals itself."""
+    rows = _whole(docs)
+    out = gone.select(F.col("doc_id").alias("gone_id"), F.col("raw").alias("gone_raw")).distinct()
+    return rows.join(out, (rows["raw"] == out["gone_raw"]) & rows["doc_id"].eqNullSafe(out["gone_id"]), "left_anti").select("row.*")
+
+
+def keep_first(docs: DataFrame, judged: DataFrame, order: list[Column]) -> DataFrame:
+    """``docs`` with one row of each group: the least by ``order``, then by doc_id (null last) and text.
+
+    ``judged`` has doc_id, raw and group for every row of ``docs``; a null group
+    is no group. Rows equal in doc_id and text are one decision, and one of them
+    stays. No group is gathered: its first row is found map-side, and rows are
+    dealt out over salts when they are held against it.
+    """
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("doc_id").isNull().alias("unnamed"), "doc_id", "raw")
+    rows = scratch(judged.where("group IS NOT NULL").select("group", "doc_id", "raw", rank.alias("rank")), "judged")
+    firsts = rows.groupBy("group").agg(F.min("rank").alias("first"), F.count("*").alias("size")).where("size > 1")
+    both = spread_join(rows, firsts.drop("size"), ["group"], ["doc_id", "raw"])
+    held = scratch(both.groupBy("doc_id", "raw").agg(F.max(F.col("rank") == F.col("first")).alias("stays"), F.count("*").alias("times")).where("NOT stays OR times > 1"), "held")
+    discard(rows)
+    left = drop_rows(docs, held.where("NOT stays"))
+    again = held.where("stays").select(F.col("doc_id").alias("again_id"), F.col("raw").alias("again_raw"))
+    if again.isEmpty():
+        return left
+    rows = _whole(left)
+    same = (rows["raw"] == again["again_raw"]) & rows["doc_id"].eqNullSafe(again["again_id"])
+    once = rows.join(again, same, "left_semi").groupBy("doc_id", "raw").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.join(again, same, "left_anti").select("row.*").unionByName(once.select("row.*"))

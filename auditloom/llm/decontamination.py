@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, grams, hash_strings, long_array, mix, partition_uid, scratch, slices, starts, string_buffers, texts
+from .common import Bitmap, drop_rows, grams, hash_strings, long_array, mix, named_rows, partition_uid, scratch, slices, starts, string_buffers, texts
 
 RUN, K = 10, 5
 W = RUN - K + 1
@@ -134,7 +134,7 @@ def _extend(batches):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids as strings), contaminated: one row for each row of ``docs``.
+    """doc_id, raw (64 bits of the text), n_words, n_hit, n_items, items (sorted ids as strings), contaminated: one row for each row of ``docs``.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
     are ignored. A null text has no words, and an item without words has no
@@ -169,9 +169,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for own, fp, at, span, around in kinds:
                 for i, f, p, x in zip(own.tolist(), fp.view(np.int64).tolist(), at.tolist(), around, strict=True):
                     marks[i].append({"fp": f, "at": p, "span": span, "doc": x})
-            yield pa.RecordBatch.from_arrays([pa.array(take(len(counts))), batch.column("doc_id").cast(pa.int64()), pa.array(counts), pa.array(marks, kind)], names=["uid", "doc_id", "n_words", "marks"])
+            yield pa.RecordBatch.from_arrays([pa.array(take(len(counts))), batch.column("doc_id"), batch.column("raw"), pa.array(counts), pa.array(marks, kind)], names=["uid", "doc_id", "raw", "n_words", "marks"])
 
-    base = scratch(docs.select("doc_id", "text").mapInArrow(marks_of, "uid long, doc_id long, n_words long, marks array<struct<fp:long,at:long,span:int,doc:binary>>"), "marks")
+    base = scratch(named_rows(docs).mapInArrow(marks_of, "uid long, doc_id long, raw long, n_words long, marks array<struct<fp:long,at:long,span:int,doc:binary>>"), "marks")
     marks = base.where(F.size("marks") > 0).select("uid", F.explode("marks").alias("m")).select("uid", "m.*")
     hits = scratch(marks.join(items, ["fp", "span"]).select("uid", "item", "at", "span", "doc", "own").mapInArrow(_extend, "uid long, item string, first long, last long").distinct(), "hits")
 
@@ -182,12 +182,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = base.drop("marks").join(n_hit.join(ids, "uid"), "uid", "left")
     none = F.array().cast("array<string>")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")
+        "doc_id", "raw", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id has a hit."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    gone = contamination(docs, benchmark).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", F.col("doc_id")).join(gone, "__id", "left_anti").select(*own)
+    """``docs`` without the rows that have a hit.
+
+    Rows are told apart by doc_id (null too) and text, so a clean row stays
+    whatever id it shares. Null and blank texts stay. All columns come back,
+    whatever their names.
+    """
+    return drop_rows(docs, contamination(docs, benchmark).where("contaminated").select("doc_id", "raw"))

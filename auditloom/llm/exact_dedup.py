@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, long_array, scratch, slices, spread_join
+from .common import Bitmap, keep_first, long_array, named_rows, scratch, slices, spread_join
 
 #: What normalising deletes: blank, tab, line feed, vertical tab, form feed, carriage return.
 DELETED = b" \t\n\x0b\x0c\r"
@@ -162,19 +162,10 @@ def _routed(bitmap):
     return route
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """Groups of equal normalised texts: doc_id, raw (xxhash64 of the text as it is), keep_id, group_size, kept, text_sha256.
-
-    One row for each row of ``docs``, which needs doc_id (long) and text; other
-    columns are ignored. Null
-    counts as the empty text, and all empty texts are copies of each other. Of
-    equal texts the row with the most code points stays, then the smallest
-    doc_id; rows that repeat both text and doc_id are all marked kept. A null
-    doc_id is ranked last, however long its text, and never equals a keep_id. An empty table gives an
-    empty result.
-    """
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hashed rows, groups of two or more with their keeper), after byte verification."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"))
+    rows = named_rows(docs)
     hashed = scratch(rows.mapInArrow(_hashed, "doc_id long, raw long, fp long, sha binary, chars long"), "hashed")
     repeated = fingerprint_counts(hashed, hashed.count()).where("n > 1")
     bitmap = spark.sparkContext.broadcast(Bitmap.collect(repeated, "fp"))
@@ -187,7 +178,22 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         F.when(F.col("bodies") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256"))).alias("group_size"),
         (-F.col("top.minus")).alias("keep_id"),
     )
-    out = spread_join(hashed, groups, ["sha"], "doc_id", "left")
+    return hashed, groups
+
+
+def exact_duplicates(docs: DataFrame) -> DataFrame:
+    """Groups of equal normalised texts: doc_id, raw (64 bits of the text as it is), keep_id, group_size, kept, text_sha256.
+
+    One row for each row of ``docs``, which needs doc_id (long) and text; other
+    columns are ignored. Null
+    counts as the empty text, and all empty texts are copies of each other. Of
+    equal texts the row with the most code points stays, then the smallest
+    doc_id; rows that repeat both text and doc_id are all marked kept. A null
+    doc_id is ranked last, however long its text, and never equals a keep_id. An empty table gives an
+    empty result.
+    """
+    hashed, groups = _groups(docs)
+    out = spread_join(hashed, groups, ["sha"], ["doc_id", "raw"], "left")
     return out.select(
         "doc_id",
         "raw",
@@ -199,18 +205,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row stands for; of rows equal in doc_id and text, one stays.
+    """``docs`` with one row of each group of equal texts: one that has a doc_id, then the longest, then the least doc_id.
 
-    Rows are told apart by doc_id and text, so rows that share a doc_id are judged one by one. Rows with a null doc_id go
-    where a row that has one stands for them; copies among themselves alone all stay.
+    Rows are told apart by doc_id and text, so rows that share a doc_id are
+    judged one by one, and of rows equal in both one stays. Null and blank texts
+    are copies of each other. Copies none of which has a doc_id leave one row
+    too. All columns come back, whatever their names.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*own, F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__raw"))
-    judged = scratch(exact_duplicates(keyed.select("doc_id", "text")), "judged")
-    gone = judged.where(~F.col("kept") & F.col("keep_id").isNotNull()).select(F.col("doc_id").alias("__gone_id"), F.col("raw").alias("__gone_raw")).distinct()
-    left = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__raw") == F.col("__gone_raw")), "left_anti")
-    again = judged.where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).count().where("count > 1").drop("count")
-    if again.isEmpty():
-        return left.select(*own)
-    once = left.join(again, ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "text"])
-    return left.join(again, ["__id", "__raw"], "left_anti").select(*own).unionByName(once.select(*own))
+    hashed, groups = _groups(docs)
+    judged = spread_join(hashed, groups.select("sha"), ["sha"], ["doc_id", "raw"])
+    judged = judged.select("doc_id", "raw", F.col("sha").alias("group"), "chars")
+    return keep_first(docs, judged, [F.col("doc_id").isNull(), -F.col("chars")])

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, grams, hash_strings, long_array, mix, scratch, slices, split_words, spread_join, starts, texts
+from .common import Bitmap, grams, hash_strings, keep_first, long_array, mix, named_rows, scratch, slices, split_words, spread_join, starts, texts
 from .neardup import bands, distinct_sets, minhashes, near_duplicate_classes, set_hashes, set_rows
 
 WORDS = 5
@@ -65,7 +65,7 @@ def _units(batches):
             values = minhashes(s, at, 2 * M * R, 9)
             sig[rows] = np.concatenate([bands(values[:, : M * R], R, 1), bands(values[:, M * R :], R, 2)], axis=1)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (2 * M)), long_array(sig.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), long_array(h1), long_array(h2), long_array(row_keys(batch.column("doc_id"), text)), lists], names=["doc_id", "n", "h1", "h2", "rk", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), pa.array(n), long_array(h1), long_array(h2), long_array(row_keys(batch.column("doc_id"), text)), lists], names=["doc_id", "raw", "n", "h1", "h2", "rk", "sig"])
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -73,23 +73,20 @@ def _keys(reps: DataFrame) -> DataFrame:
     return a.select("uid", "a", F.explode(F.slice("sig", M + 1, M)).alias("b")).select(F.xxhash64("a", "b").alias("key"), "uid")
 
 
-def _shares(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    same = sigs == sig
-    return same[:, :M].any(axis=1) & same[:, M:].any(axis=1)
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, rk: one row for each row of ``docs`` (doc_id long, text; others are ignored).
+    """doc_id, n_shingles, component_id, kept, raw, group: one row for each row of ``docs`` (doc_id long, text; others are ignored).
 
     Links join documents whose sets of 5-word shingles have 100 * common >=
     percent * union; component_id is the least doc_id that links reach, kept is
     doc_id = component_id. A null or blank text has no shingles and is linked
     with nothing. Rows that repeat a doc_id are linked by their own texts; a
     null doc_id ranks last and is kept only if its whole component has none.
-    rk names a row by doc_id and text.
+    raw is 64 bits of the text, group a name of the component (null without
+    words): rows with one component_id may be of several groups where a doc_id
+    repeats. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "text")
-    base = scratch(rows.mapInArrow(_units, "doc_id long, n long, h1 long, h2 long, rk long, sig array<long>"), "units")
+    rows = named_rows(docs)
+    base = scratch(rows.mapInArrow(_units, "doc_id long, raw long, n long, h1 long, h2 long, rk long, sig array<long>"), "units")
 
     def sets_of(bitmap: Bitmap) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -104,20 +101,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     h1, h2 = set_hashes(s, n)
                     yield set_rows({"rk": rk[at], "h1": h1, "h2": h2}, s, n)
 
-        return rows.mapInArrow(fetch, "rk long, h1 long, h2 long, body binary")
+        return rows.select("doc_id", "text").mapInArrow(fetch, "rk long, h1 long, h2 long, body binary")
 
     units = base.where("n > 0").withColumn("label", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    linked = near_duplicate_classes(units, _keys, sets_of, percent, _shares)
+    linked = near_duplicate_classes(units, _keys, sets_of, percent)
     # Equal sets are linked without any candidate.
     equal = units.groupBy("h1", "h2").agg(F.min("label").alias("own"), F.count("*").alias("size")).where("size > 1").drop("size")
-    named = equal.join(linked, ["h1", "h2"], "full").select("h1", "h2", F.least("comp", "own").alias("comp"))
+    named = equal.join(linked, ["h1", "h2"], "full").select("h1", "h2", "group", F.least("comp", "own").alias("comp"))
     comp = F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
+    comp = F.when(comp == (1 << 63) - 1, F.lit(None)).otherwise(comp)
+    group = F.when(F.col("n") > 0, F.coalesce("group", F.xxhash64("h1", "h2")))
     out = spread_join(base.drop("sig"), named, ["h1", "h2"], "rk", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"), "rk")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"), "raw", group.alias("group"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
-    """One row of each component: the one with the least doc_id. Rows with a null doc_id stay."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    gone = near_duplicates(docs, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", F.col("doc_id")).join(gone, "__id", "left_anti").select(*own)
+    """``docs`` with one row of each component: the one with the least doc_id, null last, then by its text.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id are
+    judged one by one. Rows without words (null, empty, blank) stay, and so do
+    all rows outside a component. All columns come back, whatever their names.
+    """
+    return keep_first(docs, near_duplicates(docs, percent).select("doc_id", "raw", "group"), [])

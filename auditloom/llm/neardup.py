@@ -7,11 +7,18 @@ the class's representative takes part in what follows.
 Candidates of a key are linked to one hub, the least of the key, so a key with
 n units gives n - 1 pairs and not n * n / 2. Links confirmed that way join
 units into components. What is left to compare are units that share a hub but
-are still in different components: those outside a hub's main component are
-compared with all of its units, in blocks of bounded size, and only links that
-join something are written. So a large group of copies costs one comparison for
-each copy, no pairs are written out, and no candidate is dropped for being in a
-large group.
+are still in different components.
+
+* Hubs of up to ``BLOCK`` units: those outside a hub's main component are compared
+  with all of its units, in blocks of bounded size.
+* Larger hubs, as of documents made from one template, are split first: each of
+  their units gets FINE more keys of FINE_ROWS MinHash values, and the hub's
+  units that share one are a smaller hub, treated likewise. A pair at 0.8
+  shares one with probability 1 - (1 - 0.8 ** 5) ** 28 = 0.99998, a pair at 0.2
+  with 0.009.
+
+Only links that join something are written. So a large group of copies costs
+one comparison for each copy, and no pairs are written out.
 """
 
 from __future__ import annotations
@@ -20,14 +27,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, long_array, mix, scratch, spread_join
+from .common import Bitmap, discard, long_array, mix, scratch, spread_join
 from .components import components
 
 #: Units of a hub, and members of their sets, that one task compares with as many others.
 BLOCK, BLOCK_MEMBERS = 2048, 4_000_000
+#: Keys that split a larger hub, and MinHash values of each.
+FINE, FINE_ROWS = 28, 5
 
 
 def minhashes(shingles: np.ndarray, offsets: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -105,7 +114,18 @@ def _linked(percent: int):
     return check
 
 
-def _within(percent: int, shares: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+def _finer(batches):
+    """(uid, fine): the finer keys of each set."""
+    for batch in batches:
+        if batch.num_rows:
+            bodies = batch.column("body").to_pylist()
+            edges = np.concatenate([[0], np.cumsum([len(x) // 8 for x in bodies])])
+            keys = bands(minhashes(np.frombuffer(b"".join(bodies), np.uint64), edges, FINE * FINE_ROWS, 17), FINE_ROWS, 7)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bodies) + 1, dtype=np.int32) * FINE), long_array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), lists], names=["uid", "fine"])
+
+
+def _within(percent: int):
     """Links across components among the units of one hub, of one block of targets and one of queries.
 
     Only links that join what is still apart here are given, so a dense group
@@ -115,7 +135,6 @@ def _within(percent: int, shares: Callable[[np.ndarray, np.ndarray], np.ndarray]
     def links(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches)
         uid, comp, side = (rows.column(c).to_numpy() for c in ("uid", "comp", "side"))
-        sig = np.array(rows.column("sig").to_pylist(), np.int64)
         bodies = [np.frombuffer(x, np.uint64) for x in rows.column("body").to_pylist()]
         n = np.array([len(x) for x in bodies])
         targets, queries = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -131,7 +150,7 @@ def _within(percent: int, shares: Callable[[np.ndarray, np.ndarray], np.ndarray]
         for k, i in enumerate(queries):
             c = common[k]
             some = np.flatnonzero((comp[targets] != comp[i]) & (100 * c >= percent * (n[targets] + n[i] - c)))
-            for j in targets[some[shares(sig[targets[some]], sig[i])]]:
+            for j in targets[some]:
                 p, q = find(int(comp[i])), find(int(comp[j]))
                 if p != q:
                     root[p] = q
@@ -166,16 +185,15 @@ def _intersections(bodies: list[np.ndarray], queries: np.ndarray, targets: np.nd
     return out
 
 
-def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], Column | DataFrame], sets_of: Callable[[Bitmap], DataFrame], percent: int, shares: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(h1, h2, comp): for each distinct set that is linked with another, the least label reachable.
+def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], DataFrame], sets_of: Callable[[Bitmap], DataFrame], percent: int) -> DataFrame:
+    """(h1, h2, group, comp): for each distinct set that is linked with another, its component and the component's least label.
 
     ``units``: a scratch table with h1, h2 (the set's name), n (its size, over
     0), label (long; the least of a component is what comes back), rk (a
     row's 64-bit key for ``sets_of``) and sig (array of long: its bands).
     ``keys`` explodes (uid, n, sig) into rows (key, uid). ``sets_of`` gives
     (rk, h1, h2, body) of at least the rows whose rk is in the bitmap. Sets are
-    linked if 100 * common >= percent * union. ``shares`` tells which rows of
-    an array of sigs have a key in common with one sig.
+    linked if 100 * common >= percent * union. group is a 64-bit name.
     """
     reps = units.groupBy("h1", "h2").agg(F.min("label").alias("label"), F.min(F.struct("rk", "n", "sig")).alias("r"))
     reps = scratch(reps.select("h1", "h2", "label", "r.rk", "r.n", "r.sig", F.xxhash64("h1", "h2").alias("uid")), "reps")
@@ -184,38 +202,62 @@ def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], Column
     stars = scratch(keyed.join(hubs, "key").where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), "stars")
 
     ends = stars.select(F.col("a").alias("uid")).union(stars.select(F.col("b").alias("uid"))).distinct()
-    members = reps.join(ends, "uid", "left_semi").select("uid", "rk", "h1", "h2", "n", "sig")
-    members = scratch(members, "members")
+    members = scratch(reps.join(ends, "uid", "left_semi").select("uid", "rk", "h1", "h2", "n"), "members")
     bitmap = Bitmap.collect(members, "rk")
     found = sets_of(bitmap).join(members.select("uid", "rk", "h1", "h2"), ["rk", "h1", "h2"]).groupBy("uid").agg(F.first("body").alias("body"))
     sets = scratch(found, "sets")
+    sizes = members.select("uid", "n")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        sizes = members.select("uid", "n")
         fit = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
         both = fit.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
         return both.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long")
 
-    links = scratch(confirmed(stars), "links")
-    comps = components(links)
-    # Units that share a key share its hub, and each has been compared with that. What is still apart is compared hub by hub.
-    near = stars.select(F.col("a").alias("hub"), F.col("b").alias("uid")).join(comps.withColumnRenamed("node", "uid"), "uid", "left").join(members.select("uid", "n"), "uid").withColumn("comp", F.coalesce("comp", "uid"))
-    each = near.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("members"))
-    most = each.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size"), F.sum("members").alias("members")).where("size > most.n")
-    parts = lambda n: F.ceil(F.greatest(n / BLOCK, n / F.col("size") * F.col("members") / BLOCK_MEMBERS)).cast("int")
-    rest = spread_join(near.drop("n"), most.select("hub", F.col("most.comp").alias("main"), parts(F.col("size")).alias("ps"), parts(F.col("size") - F.col("most.n")).alias("qs")), ["hub"], "uid")
-    rest = scratch(rest, "open")
-    if not rest.isEmpty():
+    def still_open(near: DataFrame) -> DataFrame:
+        """Units (hub, uid, comp) of hubs that hold several components, with main (its largest), size, ps and qs (blocks of either side)."""
+        near = near.join(sizes, "uid")
+        each = near.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("members"))
+        most = each.groupBy("hub").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size"), F.sum("members").alias("members")).where("size > most.n")
+        parts = lambda n: F.ceil(F.greatest(n / BLOCK, n / F.col("size") * F.col("members") / BLOCK_MEMBERS)).cast("int")
+        figures = most.select("hub", F.col("most.comp").alias("main"), "size", parts(F.col("size")).alias("ps"), parts(F.col("size") - F.col("most.n")).alias("qs"))
+        return scratch(spread_join(near.drop("n"), figures, ["hub"], "uid"), "open")
+
+    def of_stars(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        rows = pairs.select(F.col("a").alias("hub"), F.col("b").alias("uid"))
+        return rows.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid")).select("hub", "uid", "comp")
+
+    def compared(rest: DataFrame) -> DataFrame:
         # Targets: all units of the hub; queries: those outside its main component. Either side is cut into blocks.
         own = F.xxhash64("uid", "hub")
         targets = rest.select("hub", F.pmod(own, F.col("ps")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "uid", "comp", F.lit(0).alias("side"))
         queries = rest.where("comp <> main").select("hub", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), F.pmod(own, F.col("qs")).cast("int").alias("q"), "uid", "comp", F.lit(1).alias("side"))
-        dealt = targets.unionByName(queries).join(members.select("uid", "sig"), "uid").join(sets, "uid")
-        more = scratch(dealt.groupBy("hub", "p", "q").applyInArrow(_within(percent, shares), "a long, b long"), "links")
+        dealt = targets.unionByName(queries).join(sets, "uid")
+        return dealt.groupBy("hub", "p", "q").applyInArrow(_within(percent), "a long, b long")
+
+    links = scratch(confirmed(stars), "links")
+    comps = components(links)
+    # Units that share a key share its hub, and each has been compared with that. What is still apart is compared hub by hub.
+    rest = still_open(of_stars(stars, comps))
+    large = rest.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        fine = scratch(sets.join(large.select("uid").distinct(), "uid").mapInArrow(_finer, "uid long, fine array<long>"), "fine")
+        split = large.select("hub", "uid", "comp").join(fine, "uid").select(F.explode("fine").alias("f"), "hub", "uid", "comp").select(F.xxhash64("hub", "f").alias("key"), "uid", "comp")
+        inner = split.groupBy("key").agg(F.min("uid").alias("hub"), (F.min("comp") != F.max("comp")).alias("several")).where("several").drop("several")
+        pairs = scratch(split.join(inner, "key").where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), "stars")
+        links = scratch(links.union(confirmed(pairs)), "links")
+        comps = components(links)
+        small, inside = rest.where(F.col("size") <= BLOCK).select("hub", "uid"), of_stars(pairs, comps)
+        # Small hubs are held against the new components, too.
+        again = small.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid")).select("hub", "uid", "comp")
+        rest = still_open(again.unionByName(inside.withColumn("hub", F.xxhash64("hub", F.lit("fine")))))
+    if not rest.isEmpty():
+        more = scratch(compared(rest), "links")
         if not more.isEmpty():
             comps = components(links.union(more))
     named = comps.join(reps.select(F.col("uid").alias("node"), "h1", "h2", "label"), "node")
-    return named.join(named.groupBy("comp").agg(F.min("label").alias("least")), "comp").select("h1", "h2", F.col("least").alias("comp"))
+    out = scratch(named.join(named.groupBy("comp").agg(F.min("label").alias("least")), "comp").select("h1", "h2", F.col("comp").alias("group"), F.col("least").alias("comp")), "named")
+    discard(stars, members, sets, rest, reps, links)
+    return out
 
 
 def set_rows(names: dict[str, np.ndarray], values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread_join
+from .common import scratch, spread_join
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,11 @@ def unseen(blobs: DataFrame, rules: Sequence[Rule], ledger: DataFrame | None) ->
     return left.where(F.size("todo") > 0).drop("done")
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and blob, the SHA-256 of the text: one row for each version of each path."""
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+
+
 def scan(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """(blob, rule, rank, start, end): places in code points, end exclusive, of what each rule in ``todo`` finds in ``text``."""
     text = F.col("text")
@@ -74,27 +79,45 @@ def scan(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return placed.where("h.held >= least").select("blob", "rule", "rank", (F.col("end") - F.col("h.match")).alias("start"), "end")
 
 
-def secret_scan(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(paths, findings, ledger) after scanning what the ledger lacks.
+def increment(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger) after scanning the blobs of ``docs`` for what ``ledger`` lacks, both written to the shared folder.
 
-    ``docs``: doc_id and text, one row for each version of each path; other
-    columns are ignored, a null text is empty, and repeated rows are each
-    reported. paths: doc_id, blob and its spans as an array of (start, rank,
-    rule, end), empty if there are none. findings: (blob, rule, rank, start,
-    end) with the earlier ``findings`` of the present versions. ledger: all
-    (blob, rule, version) scanned so far. Empty tables give empty results.
+    What is unseen is decided on hashes, so a blob that the ledger knows is not
+    scanned again, and equal texts are scanned once. findings: (blob, rule,
+    version, rank, start, end) with the earlier ``findings``; ledger: all (blob,
+    rule, version) scanned so far. Give both to the next increment. The ledger
+    is written last: what fails in between is scanned again, never missed.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    blobs = rows.groupBy("blob", "text").agg(F.lit(1).alias("one")).drop("one")
-    todo = unseen(blobs, rules, ledger)
-    found = scan(todo, rules)
+    rows = versions(docs)
+    if ledger is None:
+        todo = unseen(rows.groupBy("blob", "text").count().drop("count"), rules, None)
+        left = unseen(rows.select("blob").distinct(), rules, None)
+    else:
+        left = scratch(unseen(rows.select("blob").distinct(), rules, ledger), "unseen")
+        todo = spread_join(rows, left, ["blob"], "doc_id").groupBy("blob", "text", "todo").count().drop("count")
+    number = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.version))])
+    found = scratch(scan(todo, rules).select("blob", "rule", number[F.col("rule")].alias("version"), "rank", "start", "end"), "findings")
+    done = scratch(left.select("blob", F.explode("todo").alias("rule")).select("blob", "rule", number[F.col("rule")].alias("version")), "ledger")
     if findings is not None:
         found = findings.select(*found.columns).unionByName(found)
-    versions = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.version))])
-    done = todo.select("blob", F.explode("todo").alias("rule")).select("blob", "rule", versions[F.col("rule")].alias("version"))
     if ledger is not None:
-        done = ledger.select("blob", "rule", "version").unionByName(done)
-    by_blob = found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "rule", "end"))).alias("spans"))
-    paths = spread_join(rows.select("doc_id", "blob"), by_blob, ["blob"], "doc_id", "left")
+        done = ledger.select(*done.columns).unionByName(done)
+    return found, done
+
+
+def secret_scan(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(paths, findings, ledger) after scanning what the ledger lacks.
+
+    ``docs``: doc_id and text, one row for each version of each path; other
+    columns are ignored, a null text is empty, a null doc_id is passed on, and
+    repeated rows are each reported. paths: doc_id, blob and its spans by the
+    present versions of ``rules``, an array of (start, rank, rule, end), empty if
+    there are none; findings and ledger as ``increment`` gives them. Empty tables
+    give empty results.
+    """
+    found, done = increment(docs, rules, ledger, findings)
+    present = found.where(" OR ".join(f"(rule = '{r.name}' AND version = {r.version})" for r in rules))
+    by_blob = present.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "rule", "end"))).alias("spans"))
+    paths = spread_join(versions(docs).select("doc_id", "blob"), by_blob, ["blob"], "doc_id", "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,rule:string,end:bigint>>")
     return paths.select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), found, done

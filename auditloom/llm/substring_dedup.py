@@ -8,6 +8,12 @@ bands of two MinHash values let a pair of similarity 0.8 meet with probability
 compared exactly, and removals follow the components of the confirmed links: of
 each, the first passage (by document, then place) stays.
 
+Passages lie within others, so the first one may go with what holds it. Where a
+line goes for a *near* copy, what it holds has no equal in the line that stays;
+such passages are ranked last. If all of a component are such, none of it is
+removed for its own sake. So whatever has a copy outside the near copies that
+go stays once (words of a longer passage may stay at different places).
+
 A passage may begin anywhere, so each RUN words in a row are compared as well,
 over the whole text, whatever its lines. RUN words hold RUN - SEED + 1 runs of
 SEED words; equal ones have the same least hash among these, so only windows
@@ -24,16 +30,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _POWERS, Bitmap, hash_strings, long_array, mix, scratch, slices, split_words, spread_join, starts, string_buffers, texts
-from .minhash_dedup import row_keys, shingle_sets
+from .common import _POWERS, Bitmap, blank_text, discard, hash_strings, long_array, mix, named_rows, scratch, slices, split_words, spread_join, starts, string_buffers, texts
+from .minhash_dedup import shingle_sets
 from .neardup import bands, minhashes, near_duplicate_classes, set_hashes, set_rows
 
 PERCENT = 80
 BANDS, ROWS = 8, 2
 #: What parts the sentences of a line: a stop and one blank.
 SENTENCE_END = r"[.!?]\s"
-#: Shorter lines (headings, lists, signatures) repeat by nature and stay.
+#: Default of ``min_words``. Shorter lines and sentences (headings, list items, signatures) repeat by nature and stay
+#: unless they lie in a longer passage that repeats; with 1 every line and sentence is a unit.
 MIN_WORDS = 10
+_LAST = (1 << 63) - 1
 #: Neighbouring lines of fewer words are a hard-wrapped paragraph, taken as one unit.
 WRAPPED = 20
 #: Any run of so many words that occurs twice is found; SEED words of it are looked up first.
@@ -68,15 +76,15 @@ def _within(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return place[:-1] - np.repeat(place[edges[:-1]], counts)
 
 
-def _units_of(batch: pa.RecordBatch) -> dict:
-    """Lines of MIN_WORDS words or more, hard-wrapped paragraphs, and sentences of lines that have several; places are code points."""
+def _units_of(batch: pa.RecordBatch, least: int) -> dict:
+    """Lines of ``least`` words or more, hard-wrapped paragraphs, and sentences of lines that have several; places are code points."""
     row, number, line = paragraphs(batch.column("doc_id"), texts(batch))
     line = line.cast(pa.large_string())
     chars = pc.utf8_length(line).to_numpy(zero_copy_only=False).astype(np.int64)
     place = _within(np.bincount(row, minlength=batch.num_rows), chars + 1)
     n_words = word_counts(line)
-    wrapped = _wrapped(row, number, line, chars, place, n_words)
-    keep = np.flatnonzero(n_words >= MIN_WORDS)
+    wrapped = _wrapped(row, number, line, chars, place, n_words, least)
+    keep = np.flatnonzero(n_words >= least)
     row, number, chars, place, n_words, line = row[keep], number[keep], chars[keep], place[keep], n_words[keep], line.take(pa.array(keep))
 
     parts = pc.split_pattern_regex(line, SENTENCE_END)
@@ -87,7 +95,9 @@ def _units_of(batch: pa.RecordBatch) -> dict:
     sentence = pc.utf8_rtrim(sentence, ".!?").cast(pa.large_string())
     words = word_counts(sentence)
     own = np.repeat(np.arange(len(row)), several)
-    some = np.flatnonzero((words >= MIN_WORDS) & (several[own] > 1))
+    # A sentence that is most of its line is linked with whatever it is linked with as the line.
+    most = 100 * np.maximum(words - 4, 1) >= PERCENT * np.maximum(n_words[own] - 4, 1)
+    some = np.flatnonzero((words >= least) & (several[own] > 1) & ~most)
     short = sentence.take(pa.array(some))
     return {
         "kind": ["line"] * len(row) + ["paragraph"] * len(wrapped["row"]) + ["sentence"] * len(some),
@@ -100,14 +110,14 @@ def _units_of(batch: pa.RecordBatch) -> dict:
     }
 
 
-def _wrapped(row: np.ndarray, number: np.ndarray, line: pa.Array, chars: np.ndarray, place: np.ndarray, n_words: np.ndarray) -> dict:
-    """Neighbouring lines of 1 to WRAPPED - 1 words, two or more, that have MIN_WORDS words together."""
+def _wrapped(row: np.ndarray, number: np.ndarray, line: pa.Array, chars: np.ndarray, place: np.ndarray, n_words: np.ndarray, least: int) -> dict:
+    """Neighbouring lines of 1 to WRAPPED - 1 words, two or more, that have ``least`` words together."""
     some = (n_words > 0) & (n_words < WRAPPED)
     goes_on = np.append(False, some[1:] & some[:-1] & (row[1:] == row[:-1])) if len(row) else some
     first = np.flatnonzero(some & ~goes_on)
     last = np.flatnonzero(some & ~np.append(goes_on[1:], False)) if len(row) else first
     words = starts(n_words)
-    several = (last > first) & (words[last + 1] - words[first] >= MIN_WORDS)
+    several = (last > first) & (words[last + 1] - words[first] >= least)
     first, last = first[several], last[several]
     n = last - first + 1
     edges = starts(n)
@@ -121,25 +131,27 @@ def _row_keys(batch: pa.RecordBatch, row: np.ndarray, number: np.ndarray, h1: np
     return mix(mix(mix(ids[row]) ^ number.astype(np.uint64)) ^ h1)
 
 
-_UNITS = "doc_id long, doc long, kind string, line long, start long, n_chars long, n_words long, n long, h1 long, h2 long, rk long, sig array<long>"
+_UNITS = "doc_id long, raw long, kind string, line long, start long, n_chars long, n_words long, n long, h1 long, h2 long, rk long, sig array<long>"
 
 
-def _units(batches):
-    for batch in slices(batches, "text", 4 << 20):
-        u = _units_of(batch)
-        s, n = shingle_sets(u["text"])
-        h1, h2 = set_hashes(s, n)
-        full, edges = np.flatnonzero(n), starts(n[n > 0])
-        sig = np.zeros((len(n), BANDS), np.uint64)
-        if len(full):
-            sig[full] = bands(minhashes(s, edges, BANDS * ROWS, 2), ROWS, 3)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), long_array(sig.reshape(-1)))
-        kind = pa.array(u["kind"], pa.string())
-        doc = row_keys(batch.column("doc_id"), texts(batch))[u["row"]]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()).take(pa.array(u["row"])), long_array(doc), kind, *(pa.array(u[c]) for c in ("line", "start", "n_chars", "n_words")), pa.array(n), long_array(h1), long_array(h2), long_array(_row_keys(batch, u["row"], u["line"], h1)), lists],
-            names=["doc_id", "doc", "kind", "line", "start", "n_chars", "n_words", "n", "h1", "h2", "rk", "sig"],
-        )
+def _units(least: int):
+    def run(batches):
+        for batch in slices(batches, "text", 4 << 20):
+            u = _units_of(batch, least)
+            s, n = shingle_sets(u["text"])
+            h1, h2 = set_hashes(s, n)
+            full, edges = np.flatnonzero(n), starts(n[n > 0])
+            sig = np.zeros((len(n), BANDS), np.uint64)
+            if len(full):
+                sig[full] = bands(minhashes(s, edges, BANDS * ROWS, 2), ROWS, 3)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), long_array(sig.reshape(-1)))
+            kind, row = pa.array(u["kind"], pa.string()), pa.array(u["row"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(row), batch.column("raw").take(row), kind, *(pa.array(u[c]) for c in ("line", "start", "n_chars", "n_words")), pa.array(n), long_array(h1), long_array(h2), long_array(_row_keys(batch, u["row"], u["line"], h1)), lists],
+                names=["doc_id", "raw", "kind", "line", "start", "n_chars", "n_words", "n", "h1", "h2", "rk", "sig"],
+            )
+
+    return run
 
 
 def _sums(h: np.ndarray, k: int) -> np.ndarray:
@@ -212,37 +224,42 @@ def _candidates(held):
                 continue
             at, row = at[some], row[some]
             first, last, number = _word_places(text)
-            ids = batch.column("doc_id").cast(pa.int64())
+            own = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [long_array(_sums(h, RUN)[at]), ids.take(pa.array(row)), long_array(row_keys(ids, text)[row]), pa.array(number[at]), pa.array(first[at]), pa.array(last[at + RUN - 1])],
-                names=["h", "doc_id", "doc", "at", "start", "stop"],
+                [long_array(_sums(h, RUN)[at]), batch.column("doc_id").take(own), batch.column("raw").take(own), pa.array(number[at]), pa.array(first[at]), pa.array(last[at + RUN - 1])],
+                names=["h", "doc_id", "raw", "at", "start", "stop"],
             )
 
     return run
 
 
-def _runs(rows: DataFrame) -> DataFrame:
+def _runs(rows: DataFrame, units: DataFrame) -> DataFrame:
     """Runs of RUN words or more that occur twice, in the columns of the units; line is null."""
     spark = rows.sparkSession
     seeds = rows.mapInArrow(_seeds, "seed long").groupBy("seed").count().where("count > 1")
     held = spark.sparkContext.broadcast(Bitmap.collect(seeds, "seed"))
-    windows = scratch(rows.mapInArrow(_candidates(held), "h long, doc_id long, doc long, at long, start long, stop long"), "windows")
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "start")
-    copies = scratch(windows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1"), "copies")
-    passed = spark.sparkContext.broadcast(Bitmap.collect(copies, "h"))
-    found = spread_join(windows.mapInArrow(_passing(passed, "h"), windows.schema), copies, ["h"], "doc")
-    own = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    found = found.select("doc_id", "doc", "at", "start", "stop", F.col("first.doc_id").alias("keep"), (F.col("start") - F.col("first.start")).alias("shift"), "size")
+    windows = scratch(rows.mapInArrow(_candidates(held), "h long, doc_id long, raw long, at long, start long, stop long"), "windows")
+    passed = spark.sparkContext.broadcast(Bitmap.collect(windows.groupBy("h").count().where("count > 1"), "h"))
+    # Rows equal in doc_id and text are one text; where a near copy goes is known by text.
+    once = windows.mapInArrow(_passing(passed, "h"), windows.schema).groupBy("doc_id", "raw", "at", "h", "start", "stop").agg(F.count("*").alias("times"))
+    lossy = units.where("lossy").groupBy(F.col("doc_id").alias("id"), F.col("raw").alias("of")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    near = once.join(lossy, (F.col("raw") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    dead = F.coalesce(F.exists("gone", lambda g: (g["start"] < F.col("stop")) & (g["stop"] > F.col("start"))), F.lit(False))
+    own = F.coalesce("doc_id", F.lit(_LAST))
+    found = scratch(near.select("doc_id", "raw", "at", "h", "start", "stop", "times", F.struct(dead.alias("dead"), own.alias("doc_id"), "start", "raw").alias("place")), "found")
+    copies = found.groupBy("h").agg(F.min("place").alias("first"), F.sum("times").alias("size")).where("size > 1 AND NOT first.dead")
+    found = spread_join(found, copies, ["h"], ["doc_id", "raw"])
+    here = (F.col("first.doc_id") == own) & (F.col("first.raw") == F.col("raw"))
+    found = found.select("doc_id", "raw", "at", "start", "stop", F.col("first.doc_id").alias("keep"), F.col("first.raw").alias("keep_raw"), (F.col("start") - F.col("first.start")).alias("shift"), "size", here.alias("here"))
     # A window that overlaps the one it repeats is no second copy.
-    found = found.where((F.col("keep") != own) | (F.col("shift") == 0) | (F.col("start") - F.col("shift") + (F.col("stop") - F.col("start")) <= F.col("start")))
-    side = Window.partitionBy("doc", "doc_id", "keep", "shift")
+    found = found.where(~F.col("here") | (F.col("shift") == 0) | (F.abs("shift") >= F.col("stop") - F.col("start")))
+    side = Window.partitionBy("doc_id", "raw", "keep", "keep_raw", "shift")
     apart = (F.col("at") > F.lag("at").over(side.orderBy("at")) + RUN).cast("int")
     found = found.withColumn("island", F.sum(F.coalesce(apart, F.lit(0))).over(side.orderBy("at")))
-    runs = found.groupBy("doc", "doc_id", "keep", "shift", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("at") - F.min("at") + RUN).alias("n_words"), F.max("size").alias("cluster_size"))
-    removed = ~((F.col("keep") == own) & (F.col("shift") == 0))
+    runs = found.groupBy("doc_id", "raw", "keep", "keep_raw", "shift", "here", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("at") - F.min("at") + RUN).alias("n_words"), F.max("size").alias("cluster_size"))
     return runs.select(
-        "doc_id", "doc", F.lit("run").alias("kind"), F.lit(None).cast("long").alias("line"), "start", (F.col("stop") - F.col("start")).alias("n_chars"), "n_words",
-        F.col("keep").alias("keep_doc_id"), (F.col("start") - F.col("shift")).alias("keep_start"), "cluster_size", removed.alias("removed"),
+        "doc_id", "raw", F.lit("run").alias("kind"), F.lit(None).cast("long").alias("line"), "start", (F.col("stop") - F.col("start")).alias("n_chars"), "n_words",
+        F.when(F.col("keep") != _LAST, F.col("keep")).alias("keep_doc_id"), (F.col("start") - F.col("shift")).alias("keep_start"), "cluster_size", (~(F.col("here") & (F.col("shift") == 0))).alias("removed"),
     )
 
 
@@ -258,28 +275,17 @@ def _passing(held, column: str):
     return run
 
 
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, line, start, n_chars, n_words, keep_doc_id, keep_start, cluster_size, removed: passages that have a copy.
-
-    ``docs`` has doc_id (long) and text; other columns are ignored. kind is
-    line, paragraph (hard-wrapped lines; line is the first of them), sentence or
-    run (line is null); start and n_chars are code points of the text as it is.
-    One row for each unit of at least MIN_WORDS words in a component of two or
-    more, kept ones too, and for each run of RUN words or more that has a copy,
-    unless it lies within such a unit (a removed run: within a removed one).
-    Passages of one document may repeat each other. Null, empty and blank texts
-    have none. A null doc_id ranks last.
-    """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    base = scratch(rows.mapInArrow(_units, _UNITS), "units")
+def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
+    """Units of components of two or more: their place, the first of the component, removed, and lossy (removed for a near copy)."""
+    spark = rows.sparkSession
+    base = scratch(rows.mapInArrow(_units(min_words), _UNITS), "units")
 
     def sets_of(bitmap: Bitmap) -> DataFrame:
         held = spark.sparkContext.broadcast(bitmap)
 
         def fetch(batches):
             for batch in slices(batches, "text", 4 << 20):
-                u = _units_of(batch)
+                u = _units_of(batch, min_words)
                 s, n = shingle_sets(u["text"])
                 h1, h2 = set_hashes(s, n)
                 rk = _row_keys(batch, u["row"], u["line"], h1)
@@ -292,33 +298,79 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
         return reps.select("uid", F.explode("sig").alias("key")).select("key", "uid")
 
     units = base.where("n > 0").withColumn("label", F.xxhash64("h1", "h2"))
-    linked = near_duplicate_classes(units, keys, sets_of, PERCENT, lambda sigs, sig: (sigs == sig).any(axis=1))
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "start", "n_chars")
-    classes = base.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("size"))
-    named = classes.join(linked, ["h1", "h2"], "left").where("size > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", F.xxhash64("h1", "h2")))
+    linked = near_duplicate_classes(units, keys, sets_of, PERCENT).drop("group")
+    classes = base.groupBy("h1", "h2").agg(F.count("*").alias("size"))
+    named = classes.join(linked, ["h1", "h2"], "left").where("size > 1 OR comp IS NOT NULL").select("h1", "h2", F.coalesce("comp", F.xxhash64("h1", "h2")).alias("comp"))
     named = scratch(named, "classes")
-    whole = named.groupBy("comp").agg(F.min("first").alias("first"), F.sum("size").alias("size")).where("size > 1")
-    kept = named.select("h1", "h2", "comp").join(whole, "comp").select("h1", "h2", "first", F.col("size").alias("cluster_size"))
-    # Most units have no copy: the bitmap drops them before the join.
+    # Most units have no copy: the bitmap drops them before the join. Rows equal in doc_id and text are one text.
     held = spark.sparkContext.broadcast(Bitmap.collect(named, "h1"))
-    narrow = base.drop("n", "sig")
-    out = spread_join(narrow.mapInArrow(_passing(held, "h1"), narrow.schema), kept, ["h1", "h2"], "rk")
-    removed = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("n_chars") == F.col("first.n_chars")))
-    units = out.select("doc_id", "doc", "kind", "line", "start", "n_chars", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), "cluster_size", removed.alias("removed"))
+    narrow = base.drop("n", "sig", "rk")
+    mine = spread_join(narrow.mapInArrow(_passing(held, "h1"), narrow.schema), named, ["h1", "h2"], ["doc_id", "start"])
+    place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "start", (-F.col("n_chars")).alias("minus"), "raw", "h1", "h2").alias("place")  # of two that begin together the longer
+    mine = mine.groupBy("comp", "doc_id", "raw", "kind", "line", "start", "n_chars", "n_words", "h1", "h2").agg(F.count("*").alias("times"))
+    mine = scratch(mine.select("comp", "doc_id", "raw", "kind", "line", "start", "n_chars", "n_words", "times", place), "mine")
+    first = mine.groupBy("comp").agg(F.min("place").alias("first"), F.sum("times").alias("size")).where("size > 1")
+    within = lambda p: F.col("place.doc_id").eqNullSafe(p["doc_id"]) & (F.col("raw") == p["raw"]) & (F.col("start") >= p["start"]) & (F.col("start") + F.col("n_chars") <= p["start"] - p["minus"])
+    apart = lambda p: ((F.col("place.h1") != p["h1"]) | (F.col("place.h2") != p["h2"])) & ~within(p)
+    near = apart(F.col("first"))
+    judged = spread_join(mine, first, ["comp"], ["doc_id", "start"]).withColumn("stop", F.col("start") + F.col("n_chars"))
+    around = Window.partitionBy("doc_id", "raw").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    dead = F.coalesce(F.max(F.when(near, F.col("stop"))).over(around) >= F.col("stop"), F.lit(False))
+    judged = scratch(judged.select("*", F.struct(dead.alias("dead"), "place").alias("rank")).drop("first"), "judged")
+    best = judged.groupBy("comp").agg(F.min("rank").alias("best"))
+    out = spread_join(judged, best, ["comp"], ["doc_id", "start"])
+    # What lies within the passage that stays is no copy of it.
+    out = out.where((F.col("place") == F.col("best.place")) | ~within(F.col("best.place")))
+    removed = ~F.col("best.dead") & (F.col("place") != F.col("best.place"))
+    near, keep = apart(F.col("best.place")), F.col("best.place.doc_id")
+    out = scratch(
+        out.select("doc_id", "raw", "kind", "line", "start", "stop", "n_chars", "n_words", F.when(keep != _LAST, keep).alias("keep_doc_id"), F.col("best.place.start").alias("keep_start"), F.col("size").alias("cluster_size"), removed.alias("removed"), (removed & near).alias("lossy")),
+        "passages",
+    )
+    discard(base, named, mine, judged, linked)
+    return out
+
+
+def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """What ``repeated_paragraphs`` gives, with raw: 64 bits of the row's text."""
+    rows = named_rows(docs)
+    units = _units_with_copies(rows, min_words)
     # Runs within a unit that is reported say nothing new.
-    both = units.unionByName(_runs(rows)).withColumn("stop", F.col("start") + F.col("n_chars"))
-    before = Window.partitionBy("doc", "doc_id").orderBy("start", F.desc("stop"))
+    both = units.drop("stop", "lossy").unionByName(_runs(rows, units)).withColumn("stop", F.col("start") + F.col("n_chars"))
+    before = Window.partitionBy("doc_id", "raw").orderBy("start", F.desc("stop"))
     of = lambda which: F.coalesce(F.max(F.when(which, F.col("stop"))).over(before), F.lit(-1))
     is_unit = F.col("kind") != "run"
     both = both.select("*", of(is_unit).alias("held"), of(is_unit & F.col("removed")).alias("gone"))
     left = both.where(is_unit | (F.col("stop") > F.when(F.col("removed"), F.col("gone")).otherwise(F.col("held"))))
-    return left.drop("doc", "stop", "held", "gone")
+    return left.drop("stop", "held", "gone")
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
-    """doc_id and text of each row without its removed passages; a removed line goes with its line feed."""
-    gone = repeated_paragraphs(docs).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n_chars", "kind"))).alias("gone"))
-    rows = docs.select("doc_id", "text").join(gone, "doc_id", "left")
+def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, kind, line, start, n_chars, n_words, keep_doc_id, keep_start, cluster_size, removed: passages that have a copy.
+
+    ``docs`` has doc_id (long) and text; other columns are ignored. kind is
+    line, paragraph (hard-wrapped lines; line is the first of them), sentence or
+    run (line is null); start and n_chars are code points of the text as it is.
+    One row for each unit of at least ``min_words`` words in a component of two or
+    more, kept ones too, and for each run of RUN words or more that has a copy,
+    unless it lies within such a unit (a removed run: within a removed one).
+    Passages of one document may repeat each other. Null, empty and blank texts
+    have none, an empty table gives none. A null doc_id ranks last. Rows equal in
+    doc_id and text are one text with one row for each passage (cluster_size
+    counts them all); rows that share a doc_id but not the text are told apart.
+    """
+    return passages(docs, min_words).drop("raw")
+
+
+def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id and text of each row of ``docs`` without its removed passages; a removed line goes with its line feed.
+
+    Rows are told apart by doc_id (null too) and text; rows equal in both are
+    cut alike. A null text stays null, and a text without copies stays as it is.
+    """
+    gone = passages(docs, min_words).where("removed").groupBy(F.col("doc_id").alias("id"), F.col("raw").alias("of")).agg(F.sort_array(F.collect_set(F.struct("start", "n_chars", "kind"))).alias("gone"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(blank_text()).alias("raw"))
+    rows = rows.join(gone, (F.col("raw") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "gone")
 
     def cut(batches):
         for batch in batches:

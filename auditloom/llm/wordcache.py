@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 
 from .common import starts
 
-#: Words kept between slices; the store is emptied when it is full.
-KEPT = 400_000
+#: Words kept between slices, and their longest; the store is emptied when it is full.
+KEPT, KEPT_CHARS = 400_000, 64
 
 
 class WordCache:
@@ -31,7 +31,7 @@ class WordCache:
             for i, v in zip(missing, values, strict=True):
                 out[i] = v
             if len(missing) <= self.kept:
-                store.update((words[i], v) for i, v in zip(missing, values, strict=True))
+                store.update((words[i], v) for i, v in zip(missing, values, strict=True) if len(words[i]) <= KEPT_CHARS)
         return out
 
 
