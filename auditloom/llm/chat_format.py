@@ -5,8 +5,13 @@ by their paths (the chain of turn hashes), conversations lie in depth-first
 order of the tree; each range of that order is cut into packs, and a pack
 emits every turn once. A turn's position ids go on from its parent's, and its
 ancestors are given as intervals of the pack's tokens, so attention sees the
-path to the root and nothing else. A prefix that spans packs is emitted once in
-each, which bounds a pack however many conversations share a beginning.
+path to the root and nothing else.
+
+A pack must hold what its tokens attend to. So a tree of more than ``tokens``
+tokens is cut between two conversations, and the turns that both sides share are
+emitted again; these are marked ``again``, so that a trainer can give them no
+weight. With ``tokens=None`` no tree is cut: each shared turn is emitted exactly
+once in the whole output, for as much memory as the largest tree needs.
 
 Template: ``[INST:role]`` text ``[/INST:role]`` with one blank inside either
 mark and a line feed after the last. Inside texts every such mark, and every
@@ -24,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Conversations of a pack at most.
-PACK = 256
+#: Tokens after which a pack is closed, at the end of a conversation.
+PACK_TOKENS = 1 << 18
 #: Strings that a reader of the output may take for marks.
 CONTROL = r"\[/?INST(?::[^\]\n]*)?\]|\[/?SYS\]|<</?SYS>>|</?s>|<\|[a-z_]{1,20}\|>"
 _ESCAPE = re.compile(rf"(\\*)({CONTROL})")
@@ -86,22 +91,27 @@ def encoding(path: str):
 
 PACKED = (
     "pack long, tokens array<int>, loss array<boolean>, positions array<int>, "
-    "nodes array<struct<parent:int,role:string,first:int,text_first:int,text_end:int,end:int,ancestors:array<struct<first:int,end:int>>>>, "
+    "nodes array<struct<parent:int,role:string,first:int,text_first:int,text_end:int,end:int,again:boolean,ancestors:array<struct<first:int,end:int>>>>, "
     "leaves array<struct<conv_id:long,node:int,n_turns:int>>"
 )
 
 
-def _packs(vocabulary: str, pack: int):
+def _packs(vocabulary: str, tokens: int | None):
     def run(batches):
         from .common import partition_uid
 
-        enc, take, state = encoding(vocabulary), partition_uid(), _Pack()
+        enc, take, state, last = encoding(vocabulary), partition_uid(), _Pack(), []
         for batch in batches:
             for conv_id, path, turns in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "path", "turns")), strict=True):
-                if len(state.leaves) == pack:
+                new_tree = not (path and last and path[0] == last[0])
+                if state.leaves and (len(state.tokens) >= PACK_TOKENS and new_tree if tokens is None else len(state.tokens) >= tokens):
                     yield state.row(int(take(1)[0]))
                     state = _Pack()
-                state.add(conv_id, path, turns, enc)
+                shared = 0
+                while shared < min(len(path), len(last)) and path[shared] == last[shared]:
+                    shared += 1
+                state.add(conv_id, path, turns, enc, shared)
+                last = path
         if state.leaves:
             yield state.row(int(take(1)[0]))
 
@@ -117,7 +127,8 @@ class _Pack:
         self.leaves: list[dict] = []
         self.stack: list[tuple[str, int, int]] = []  # (path hash, node, positions used up to its end)
 
-    def add(self, conv_id: int | None, path: list[str], turns: list[dict], enc) -> None:
+    def add(self, conv_id: int | None, path: list[str], turns: list[dict], enc, shared: int = 0) -> None:
+        """``shared``: turns that the conversation before, in this pack or the last one, has too."""
         depth = 0
         while depth < len(self.stack) and depth < len(path) and self.stack[depth][0] == path[depth]:
             depth += 1
@@ -134,13 +145,13 @@ class _Pack:
             above = [] if parent < 0 else [*self.nodes[parent]["ancestors"], {"first": self.nodes[parent]["first"], "end": self.nodes[parent]["end"]}]
             if len(above) > 1 and above[-2]["end"] == above[-1]["first"]:  # neighbours in the pack are one interval
                 above[-2:] = [{"first": above[-2]["first"], "end": above[-1]["end"]}]
-            self.nodes.append({"parent": parent, "role": turn["role"], "first": first, "text_first": marks[1], "text_end": marks[2], "end": marks[3], "ancestors": above})
+            self.nodes.append({"parent": parent, "role": turn["role"], "first": first, "text_first": marks[1], "text_end": marks[2], "end": marks[3], "again": len(self.stack) < shared, "ancestors": above})
             self.stack.append((key, len(self.nodes) - 1, at + marks[3] - first))
         self.leaves.append({"conv_id": conv_id, "node": self.stack[-1][1] if path else -1, "n_turns": len(path)})
 
     def row(self, number: int) -> pa.RecordBatch:
         interval = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-        node = pa.struct([("parent", pa.int32()), ("role", pa.string()), ("first", pa.int32()), ("text_first", pa.int32()), ("text_end", pa.int32()), ("end", pa.int32()), ("ancestors", interval)])
+        node = pa.struct([("parent", pa.int32()), ("role", pa.string()), ("first", pa.int32()), ("text_first", pa.int32()), ("text_end", pa.int32()), ("end", pa.int32()), ("again", pa.bool_()), ("ancestors", interval)])
         leaf = pa.struct([("conv_id", pa.int64()), ("node", pa.int32()), ("n_turns", pa.int32())])
         return pa.RecordBatch.from_arrays(
             [
@@ -189,21 +200,37 @@ def _paths(batches):
         yield batch_of(rows)
 
 
-def chat_packs(conversations: DataFrame, vocabulary: str, pack: int = PACK) -> DataFrame:
+def _alone(batches):
+    """A conversation of one turn for each row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield from _paths([batch.slice(i, 1)])
+
+
+def chat_packs(conversations: DataFrame, vocabulary: str, tokens: int | None = PACK_TOKENS) -> DataFrame:
     """Packs of conversations with shared beginnings: see ``PACKED`` for the columns.
 
     ``conversations``: conv_id, turn, role, text, a row for each turn; other
     columns are ignored. Turns are ordered by turn, then role, then text, with
-    nulls first; a null role or text is empty; rows with a null conv_id form
-    one conversation. Repeated rows are turns of their own. ``loss`` marks the
-    tokens of assistants' texts. ``ancestors`` of a node are the intervals of
-    tokens, besides its own, that its tokens attend to.
+    nulls first; a null role or text is empty. A row without conv_id is a
+    conversation by itself. Repeated rows are turns of their own, and equal
+    conversations share all of theirs. ``loss`` marks the tokens of assistants'
+    texts. ``ancestors`` of a node are the intervals of tokens, besides its own,
+    that its tokens attend to; ``again`` marks a node that the pack before it in its partition
+    holds as well. A pack is closed after ``tokens`` tokens; None: only between
+    trees. An empty table gives no pack. One conversation, and the packs' last,
+    is held in memory as a whole.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    paths = whole.mapInArrow(_paths, "conv_id long, path array<string>, turns array<struct<role:string,text:string>>")
-    ordered = paths.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
-    return ordered.mapInArrow(_packs(vocabulary, pack), PACKED)
+    form = "conv_id long, path array<string>, turns array<struct<role:string,text:string>>"
+    whole = rows.where("conv_id IS NOT NULL").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    paths = whole.mapInArrow(_paths, form).unionByName(rows.where("conv_id IS NULL").select("conv_id", "role", "text").mapInArrow(_alone, form))
+    if tokens is None:
+        root = F.col("path")[0]
+        ordered = paths.repartition(root).sortWithinPartitions("path", "conv_id")
+    else:
+        ordered = paths.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    return ordered.mapInArrow(_packs(vocabulary, tokens), PACKED)
 
 
 def read_back(packs: DataFrame, vocabulary: str) -> DataFrame:
