@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, scratch, slices, starts, texts
+from .common import only, partition_uid, scratch, slices, starts, texts
 from .wordcache import WordCache, coded_words
 
 SEQUENCE = 2048
 END = 1
-#: A length's rows are ranked by one task for so many rows of the table, and by SALTS at most.
-RANKED, SALTS = 1_000, 4096
+#: Rows of the table for each task that ranks a length's rows, and such tasks at most (more rows then go to each).
+RANKED, SALTS = 1_000, 1 << 16
 
 # --- tokens -----------------------------------------------------------------
 
@@ -307,7 +307,7 @@ def _pieces(vocabulary: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tokens = Tokens(vocabulary)
+        tokens, take = Tokens(vocabulary), partition_uid()
         for batch in slices(batches, "text"):
             ids, counts = tokens(texts(batch))
             edges = starts(counts)
@@ -324,8 +324,8 @@ def _pieces(vocabulary: str):
                     body.append(own[a:].tobytes() if n < SEQUENCE else None)
             at = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()).take(at), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(counts).take(at), pa.array(body, pa.binary()), pa.array([tokens.kind().itemsize] * len(doc), pa.int32())],
-                names=["doc_id", "start", "length", "crc", "doc_tokens", "ids", "width"],
+                [batch.column("doc_id").cast(pa.int64()).take(at), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(counts).take(at), pa.array(body, pa.binary()), pa.array([tokens.kind().itemsize] * len(doc), pa.int32()), pa.array(take(len(doc)))],
+                names=["doc_id", "start", "length", "crc", "doc_tokens", "ids", "width", "uid"],
             )
 
     return run
@@ -339,16 +339,16 @@ def pack(docs: DataFrame, vocabulary: str) -> DataFrame:
     for itself. An empty table gives no piece.
     """
     spark = docs.sparkSession
-    pieces = scratch(only(docs, "doc_id", "text").mapInArrow(_pieces(vocabulary), "doc_id long, start long, length long, crc long, doc_tokens long, ids binary, width int"), "pieces")
+    pieces = scratch(only(docs, "doc_id", "text").mapInArrow(_pieces(vocabulary), "doc_id long, start long, length long, crc long, doc_tokens long, ids binary, width int, uid long"), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # 2048 rows at most
     chosen = spark.sparkContext.broadcast(plan(histogram))
 
-    # Ranks within a length: salted, so that a length which a third of all rows have is ranked by many tasks.
+    # Ranks within a length: salted by a row's own number, so that a length (or a row) which a third of all rows have is ranked by many tasks.
     salts = max(1, min(SALTS, sum(histogram.values()) // RANKED))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "crc")
+    own = Window.partitionBy("length", "salt").orderBy("uid")
     ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(sums, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
 
     def place(batches):
