@@ -280,10 +280,54 @@ def test_column_generation_is_near_its_bound():
     assert bound - 1e-6 <= sum(n for _, n in patterns) <= 1.01 * bound
 
 
-def test_language_sums_all_segmentations():
-    model = language_id.Model(["x"], {"▁a": (0.2,), "▁": (0.1,), "a": (0.3,), "b": (0.4,), "ab": (0.05,)}, 2)
-    # ▁a b | ▁ a b | ▁ ab
-    assert model.word("ab")[0] == pytest.approx(np.log(0.2 * 0.4 + 0.1 * 0.3 * 0.4 + 0.1 * 0.05))
+def segmentations(text, pieces):
+    """All ways to cut a text into pieces; a character that is no piece stands alone."""
+    if not text:
+        yield []
+    for n in range(1, len(text) + 1):
+        if text[:n] in pieces or n == 1:
+            for rest in segmentations(text[n:], pieces):
+                yield [text[:n], *rest]
+
+
+PIECES = {"▁a": (0.2, 0.1), "▁": (0.1, 0.2), "a": (0.3, 1e-9), "b": (0.4, 0.3), "ab": (0.05, 0.4), "abb": (0.01, 0.02)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abx", max_size=9), min_size=1, max_size=6))
+def test_language_sums_all_segmentations(words):
+    model = language_id.Model.of(["x", "y"], PIECES)
+    scorer = language_id.Scorer(model)
+    short = scorer(words)
+    for i, w in enumerate(words):
+        for k in range(2):
+            total = sum(np.prod([PIECES.get(p, (language_id.UNKNOWN,) * 2)[k] for p in s]) for s in segmentations("▁" + w, PIECES))
+            assert short[i][k] == pytest.approx(np.log(total)) == scorer._long("▁" + w)[k]
+    known = sorted(PIECES)
+    lattice = language_id.Lattice(language_id.Trie(known), words, np.arange(1.0, len(words) + 1))
+    p = np.array([PIECES[x][0] for x in known])
+    want = np.zeros(len(known))
+    for w, times in zip(words, lattice.times, strict=True):
+        every = [(s, np.prod([PIECES.get(x, (language_id.UNKNOWN,))[0] for x in s])) for s in segmentations("▁" + w, PIECES)]
+        for s, q in every:
+            for x in s:
+                if x in PIECES:
+                    want[known.index(x)] += times * q / sum(q for _, q in every)
+    assert lattice.expected(p) == pytest.approx(want)
+
+
+def test_long_words_are_neither_cut_nor_lost():
+    scorer = language_id.Scorer(language_id.Model.of(["x", "y"], PIECES))
+    word = "abbab" * 4000
+    forward = [np.zeros(2)]  # plain logs of the same sums, place by place
+    text = "▁" + word[:60]
+    for j in range(1, len(text) + 1):
+        terms = [forward[i] + np.log(PIECES.get(text[i:j], (language_id.UNKNOWN,) * 2)) for i in range(max(0, j - 3), j) if j - i == 1 or text[i:j] in PIECES]
+        forward.append(np.logaddexp.reduce(terms))
+    assert scorer([word[:60]])[0] == pytest.approx(forward[-1].tolist())
+    assert np.isfinite(scorer([word])[0]).all()
+    a, b = (language_id.train({"x": {"q" * 40 + tail: 1}}, ["q", "qq", "zz", "z"]) for tail in ("", "zzzz"))
+    assert "zz" not in a.pieces and "zz" in b.pieces
 
 
 def test_language_id(spark, awkward, empty):
@@ -342,8 +386,13 @@ def test_chat_packs_read_back(spark):
     for c in range(40):
         rows += [(c, 0, "system", "shared beginning"), (c, 1, "user", f"question {c % 5} é"), (c, 2, "assistant", f"answer </s> {c}"), (c, 3, "assistant", "")]
     rows += [(99, None, None, None), (98, 0, "user", "[/INST:user]\n"), (98, 0, "user", "[/INST:user]\n")]
+    rows += [(None, 0, "user", "alone"), (None, 1, "user", "alone too")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    packs = chat_format.chat_packs(df, path, 16)
+    whole = chat_format.chat_packs(df, path, None).collect()
+    turns = [(n.role, tuple(p.tokens[n.first : n.end]), n.parent < 0) for p in whole for n in p.nodes]
+    assert not any(n.again for p in whole for n in p.nodes) and len([t for t in turns if t[0] == "system"]) == 1 and len([t for t in turns if t[0] == "user"]) == 5 + 2 + 2
+    packs = chat_format.chat_packs(df, path, 100)
+    assert sum(n.role == "system" and not n.again for p in packs.collect() for n in p.nodes) <= packs.rdd.getNumPartitions()
     got = {r.conv_id: r for r in chat_format.read_back(packs, path).collect()}
     assert [tuple(t) for t in got[7].turns] == [("system", "shared beginning"), ("user", "question 2 é"), ("assistant", "answer </s> 7"), ("assistant", "")]
     assert got[7].loss_texts == ["answer </s> 7"] and [tuple(t) for t in got[99].turns] == [("", "")] and len(got[98].turns) == 2
