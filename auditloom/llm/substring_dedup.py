@@ -4,8 +4,9 @@ A paragraph is a line, or neighbouring lines that are hard-wrapped; the
 sentences of a line, where it has several, are units too. A unit's set holds its
 5-word shingles (of words [^\\x20\\x09-\\x0D]+, with A-Z in lower case). Eight
 bands of two MinHash values let a pair of similarity 0.8 meet with probability
-1 - (1 - 0.8 ** 2) ** 8 = 0.9997; colliding units are joined, their sets
-compared exactly, and removals follow the components of the confirmed links: of
+1 - (1 - 0.8 ** 2) ** 8 = 0.9997. Sentences of under NEAR words are compared by
+equal sets alone, as one changed word in the midst of them leaves less than 0.8.
+Colliding units are joined, their sets compared exactly, and removals follow the components of the confirmed links: of
 each, the first passage (by document, then place) stays.
 
 Passages lie within others, so the first one may go with what holds it. Where a
@@ -15,7 +16,7 @@ removed for its own sake. So whatever has a copy outside the near copies that
 go stays once (words of a longer passage may stay at different places).
 
 A passage may begin anywhere, so each RUN words in a row are compared as well,
-over the whole text, whatever its lines. RUN words hold RUN - SEED + 1 runs of
+whatever the lines, wherever units that go leave a word of them. RUN words hold RUN - SEED + 1 runs of
 SEED words; equal ones have the same least hash among these, so only windows
 whose least hash occurs twice or more are written out and grouped by a 64-bit
 hash. Windows that have a copy and lie on one diagonal make one run, which so
@@ -44,6 +45,8 @@ MIN_WORDS = 10
 _LAST = (1 << 63) - 1
 #: Neighbouring lines of fewer words are a hard-wrapped paragraph, taken as one unit.
 WRAPPED = 20
+#: Sentences of so many words have bands, too: (NEAR - 4 - 5) / (NEAR - 4 + 5) = 0.8.
+NEAR = 49
 #: Any run of so many words that occurs twice is found; SEED words of it are looked up first.
 RUN, SEED = 50, 26
 
@@ -140,12 +143,12 @@ def _units(least: int):
             u = _units_of(batch, least)
             s, n = shingle_sets(u["text"])
             h1, h2 = set_hashes(s, n)
-            full, edges = np.flatnonzero(n), starts(n[n > 0])
-            sig = np.zeros((len(n), BANDS), np.uint64)
-            if len(full):
-                sig[full] = bands(minhashes(s, edges, BANDS * ROWS, 2), ROWS, 3)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), long_array(sig.reshape(-1)))
             kind, row = pa.array(u["kind"], pa.string()), pa.array(u["row"])
+            banded = (n > 0) & (pc.not_equal(kind, "sentence").to_numpy(zero_copy_only=False) | (u["n_words"] >= NEAR))
+            sig = np.zeros((0, BANDS), np.uint64)
+            if banded.any():
+                sig = bands(minhashes(s[np.repeat(banded, n)], starts(n[banded]), BANDS * ROWS, 2), ROWS, 3)
+            lists = pa.ListArray.from_arrays(pa.array(starts(banded * BANDS).astype(np.int32)), long_array(sig.reshape(-1)), mask=pa.array(~banded))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(row), batch.column("raw").take(row), kind, *(pa.array(u[c]) for c in ("line", "start", "n_chars", "n_words")), pa.array(n), long_array(h1), long_array(h2), long_array(_row_keys(batch, u["row"], u["line"], h1)), lists],
                 names=["doc_id", "raw", "kind", "line", "start", "n_chars", "n_words", "n", "h1", "h2", "rk", "sig"],
@@ -176,23 +179,42 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def _windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes of all texts, word where each window of RUN words begins, its text, the least hash of its runs of SEED words)."""
+def _windows(text: pa.Array, covered: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """(word hashes of all texts, word where each window of RUN words begins, its text, the least hash of its runs of SEED words, places).
+
+    Windows all of whose words lie in ``covered`` (code points, by text) are left out.
+    """
     words, counts = split_words(text)
     h = hash_strings(words)
+    places = _word_places(text)
     if len(h) < RUN:
-        return h, *(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64))
-    room = np.arange(len(h)) + RUN <= np.repeat(starts(counts)[1:], counts)
-    at = np.flatnonzero(room)
-    return h, at, np.repeat(np.arange(len(counts)), counts)[at], _least(_sums(h, SEED), RUN - SEED + 1)[at]
+        return h, *(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64)), places
+    edges = starts(counts)
+    room = np.arange(len(h)) + RUN <= np.repeat(edges[1:], counts)
+    gone = np.zeros(len(h), np.int64)
+    spans = covered.flatten()
+    if len(spans):
+        own = np.repeat(np.arange(len(counts)), pc.fill_null(pc.list_value_length(covered), 0).to_numpy(zero_copy_only=False))
+        wide = int(places[1].max(initial=0)) + int(pc.max(spans.field("stop")).as_py()) + 2  # texts one after the other on one line
+        at = np.repeat(np.arange(len(counts)), counts) * wide
+        first, stop = (spans.field(c).to_numpy(zero_copy_only=False) + own * wide for c in ("start", "stop"))
+        change = np.zeros(len(h) + 1, np.int64)
+        low, high = np.searchsorted(at + places[0], first, "left"), np.searchsorted(at + places[1], stop, "right")
+        np.add.at(change, low[high > low], 1)
+        np.add.at(change, high[high > low], -1)
+        gone = (np.cumsum(change[:-1]) > 0).astype(np.int64)
+    left = starts(1 - gone)
+    at = np.flatnonzero(room & (left[np.minimum(np.arange(len(h)) + RUN, len(h))] > left[:-1]))
+    low = _least(_sums(h, SEED), RUN - SEED + 1)
+    return h, at, np.repeat(np.arange(len(counts)), counts)[at], low[at], places
 
 
 def _seeds(batches):
     """The least hashes, once for each place: one place is least in so many neighbouring windows at most."""
     for batch in slices(batches, "text", 4 << 20):
-        _, at, row, low = _windows(texts(batch))
+        _, at, row, low, _ = _windows(texts(batch), batch.column("covered"))
         if len(at):
-            new = np.append(True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]))
+            new = np.append(True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | (np.diff(at) > 1))
             first = np.flatnonzero(new)
             step = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
             yield pa.RecordBatch.from_arrays([long_array(low[step % (RUN - SEED + 1) == 0])], names=["seed"])
@@ -217,13 +239,11 @@ def _candidates(held):
 
     def run(batches):
         for batch in slices(batches, "text", 4 << 20):
-            text = texts(batch)
-            h, at, row, low = _windows(text)
+            h, at, row, low, (first, last, number) = _windows(texts(batch), batch.column("covered"))
             some = np.flatnonzero(held.value.has(low))
             if not len(some):
                 continue
             at, row = at[some], row[some]
-            first, last, number = _word_places(text)
             own = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [long_array(_sums(h, RUN)[at]), batch.column("doc_id").take(own), batch.column("raw").take(own), pa.array(number[at]), pa.array(first[at]), pa.array(last[at + RUN - 1])],
@@ -233,21 +253,35 @@ def _candidates(held):
     return run
 
 
+def _open(batches):
+    """Rows that have a window of RUN words not all of which are covered."""
+    for batch in slices(batches, "text", 4 << 20):
+        _, _, row, _, _ = _windows(texts(batch), batch.column("covered"))
+        if len(row):
+            yield batch.take(pa.array(np.unique(row)))
+
+
 def _runs(rows: DataFrame, units: DataFrame) -> DataFrame:
     """Runs of RUN words or more that occur twice, in the columns of the units; line is null."""
     spark = rows.sparkSession
-    seeds = rows.mapInArrow(_seeds, "seed long").groupBy("seed").count().where("count > 1")
+    gone = units.where("removed").groupBy(F.col("doc_id").alias("id"), F.col("raw").alias("of")).agg(F.collect_list(F.struct("start", "stop", "lossy")).alias("gone"))
+    near = rows.join(gone.hint("shuffle_hash"), (F.col("raw") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    spans = lambda c: F.transform(c, lambda g: F.struct(g["start"].alias("start"), g["stop"].alias("stop")))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    near = near.select("doc_id", "raw", "text", F.coalesce(spans("gone"), none).alias("covered"), F.coalesce(spans(F.filter("gone", lambda g: g["lossy"])), none).alias("lossy"))
+    left = scratch(near.mapInArrow(_open, near.schema), "left")
+    seeds = left.select("text", "covered").mapInArrow(_seeds, "seed long").groupBy("seed").count().where("count > 1")
     held = spark.sparkContext.broadcast(Bitmap.collect(seeds, "seed"))
-    windows = scratch(rows.mapInArrow(_candidates(held), "h long, doc_id long, raw long, at long, start long, stop long"), "windows")
+    windows = scratch(left.select("doc_id", "raw", "text", "covered").mapInArrow(_candidates(held), "h long, doc_id long, raw long, at long, start long, stop long"), "windows")
     passed = spark.sparkContext.broadcast(Bitmap.collect(windows.groupBy("h").count().where("count > 1"), "h"))
-    # Rows equal in doc_id and text are one text; where a near copy goes is known by text.
-    once = windows.mapInArrow(_passing(passed, "h"), windows.schema).groupBy("doc_id", "raw", "at", "h", "start", "stop").agg(F.count("*").alias("times"))
-    lossy = units.where("lossy").groupBy(F.col("doc_id").alias("id"), F.col("raw").alias("of")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    once = windows.mapInArrow(_passing(passed, "h"), windows.schema)
+    lossy = left.where(F.size("lossy") > 0).select(F.col("doc_id").alias("id"), F.col("raw").alias("of"), F.col("lossy").alias("gone"))
     near = once.join(lossy, (F.col("raw") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     dead = F.coalesce(F.exists("gone", lambda g: (g["start"] < F.col("stop")) & (g["stop"] > F.col("start"))), F.lit(False))
     own = F.coalesce("doc_id", F.lit(_LAST))
-    found = scratch(near.select("doc_id", "raw", "at", "h", "start", "stop", "times", F.struct(dead.alias("dead"), own.alias("doc_id"), "start", "raw").alias("place")), "found")
-    copies = found.groupBy("h").agg(F.min("place").alias("first"), F.sum("times").alias("size")).where("size > 1 AND NOT first.dead")
+    found = scratch(near.select("doc_id", "raw", "at", "h", "start", "stop", F.struct(dead.alias("dead"), own.alias("doc_id"), "start", "raw").alias("place")), "found")
+    discard(windows, left)
+    copies = found.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1 AND NOT first.dead")
     found = spread_join(found, copies, ["h"], ["doc_id", "raw"])
     here = (F.col("first.doc_id") == own) & (F.col("first.raw") == F.col("raw"))
     found = found.select("doc_id", "raw", "at", "start", "stop", F.col("first.doc_id").alias("keep"), F.col("first.raw").alias("keep_raw"), (F.col("start") - F.col("first.start")).alias("shift"), "size", here.alias("here"))
@@ -297,28 +331,29 @@ def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
     def keys(reps: DataFrame) -> DataFrame:
         return reps.select("uid", F.explode("sig").alias("key")).select("key", "uid")
 
-    units = base.where("n > 0").withColumn("label", F.xxhash64("h1", "h2"))
+    units = base.where("n > 0 AND sig IS NOT NULL").withColumn("label", F.xxhash64("h1", "h2"))
     linked = near_duplicate_classes(units, keys, sets_of, PERCENT).drop("group")
     classes = base.groupBy("h1", "h2").agg(F.count("*").alias("size"))
     named = classes.join(linked, ["h1", "h2"], "left").where("size > 1 OR comp IS NOT NULL").select("h1", "h2", F.coalesce("comp", F.xxhash64("h1", "h2")).alias("comp"))
     named = scratch(named, "classes")
-    # Most units have no copy: the bitmap drops them before the join. Rows equal in doc_id and text are one text.
+    # Most units have no copy: the bitmap drops them before the join.
     held = spark.sparkContext.broadcast(Bitmap.collect(named, "h1"))
     narrow = base.drop("n", "sig", "rk")
-    mine = spread_join(narrow.mapInArrow(_passing(held, "h1"), narrow.schema), named, ["h1", "h2"], ["doc_id", "start"])
+    mine = spread_join(narrow.mapInArrow(_passing(held, "h1"), narrow.schema), named, ["h1", "h2"], ["doc_id", "start"], salts=8)
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "start", (-F.col("n_chars")).alias("minus"), "raw", "h1", "h2").alias("place")  # of two that begin together the longer
-    mine = mine.groupBy("comp", "doc_id", "raw", "kind", "line", "start", "n_chars", "n_words", "h1", "h2").agg(F.count("*").alias("times"))
-    mine = scratch(mine.select("comp", "doc_id", "raw", "kind", "line", "start", "n_chars", "n_words", "times", place), "mine")
-    first = mine.groupBy("comp").agg(F.min("place").alias("first"), F.sum("times").alias("size")).where("size > 1")
+    mine = scratch(mine.select("comp", "doc_id", "raw", "kind", "line", "start", "n_chars", "n_words", place), "mine")
+    discard(base, named, linked)
+    first = mine.groupBy("comp").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1")
     within = lambda p: F.col("place.doc_id").eqNullSafe(p["doc_id"]) & (F.col("raw") == p["raw"]) & (F.col("start") >= p["start"]) & (F.col("start") + F.col("n_chars") <= p["start"] - p["minus"])
     apart = lambda p: ((F.col("place.h1") != p["h1"]) | (F.col("place.h2") != p["h2"])) & ~within(p)
     near = apart(F.col("first"))
-    judged = spread_join(mine, first, ["comp"], ["doc_id", "start"]).withColumn("stop", F.col("start") + F.col("n_chars"))
+    judged = spread_join(mine, first, ["comp"], ["doc_id", "start"], salts=8).withColumn("stop", F.col("start") + F.col("n_chars"))
     around = Window.partitionBy("doc_id", "raw").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
     dead = F.coalesce(F.max(F.when(near, F.col("stop"))).over(around) >= F.col("stop"), F.lit(False))
     judged = scratch(judged.select("*", F.struct(dead.alias("dead"), "place").alias("rank")).drop("first"), "judged")
+    discard(mine)
     best = judged.groupBy("comp").agg(F.min("rank").alias("best"))
-    out = spread_join(judged, best, ["comp"], ["doc_id", "start"])
+    out = spread_join(judged, best, ["comp"], ["doc_id", "start"], salts=8)
     # What lies within the passage that stays is no copy of it.
     out = out.where((F.col("place") == F.col("best.place")) | ~within(F.col("best.place")))
     removed = ~F.col("best.dead") & (F.col("place") != F.col("best.place"))
@@ -327,13 +362,23 @@ def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
         out.select("doc_id", "raw", "kind", "line", "start", "stop", "n_chars", "n_words", F.when(keep != _LAST, keep).alias("keep_doc_id"), F.col("best.place.start").alias("keep_start"), F.col("size").alias("cluster_size"), removed.alias("removed"), (removed & near).alias("lossy")),
         "passages",
     )
-    discard(base, named, mine, judged, linked)
+    discard(judged)
     return out
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """One of rows equal in doc_id and text. Texts are only shuffled where there are such rows."""
+    again = rows.groupBy("doc_id", "raw").count().where("count > 1").select(F.col("doc_id").alias("id"), F.col("raw").alias("of"))
+    if again.isEmpty():
+        return rows
+    same = (F.col("raw") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    one = rows.join(again, same, "left_semi").groupBy("doc_id", "raw", "text").count().drop("count")
+    return rows.join(again, same, "left_anti").unionByName(one)
+
+
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """What ``repeated_paragraphs`` gives, with raw: 64 bits of the row's text."""
-    rows = named_rows(docs)
+    rows = _distinct(named_rows(docs))
     units = _units_with_copies(rows, min_words)
     # Runs within a unit that is reported say nothing new.
     both = units.drop("stop", "lossy").unionByName(_runs(rows, units)).withColumn("stop", F.col("start") + F.col("n_chars"))
@@ -356,8 +401,8 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     unless it lies within such a unit (a removed run: within a removed one).
     Passages of one document may repeat each other. Null, empty and blank texts
     have none, an empty table gives none. A null doc_id ranks last. Rows equal in
-    doc_id and text are one text with one row for each passage (cluster_size
-    counts them all); rows that share a doc_id but not the text are told apart.
+    doc_id and text count as one text; rows that share a doc_id but not the text
+    are told apart.
     """
     return passages(docs, min_words).drop("raw")
 
