@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _POWERS, Bitmap, blank_text, discard, hash_strings, long_array, mix, named_rows, scratch, slices, split_words, spread_join, starts, string_buffers, texts
+from .common import _POWERS, Bitmap, blank_text, discard, hash_strings, long_array, mix, named_rows, scratch, slices, split_words, starts, string_buffers, texts
 from .minhash_dedup import shingle_sets
 from .neardup import bands, minhashes, near_duplicate_classes, set_hashes, set_rows
 
@@ -129,9 +129,10 @@ def _wrapped(row: np.ndarray, number: np.ndarray, line: pa.Array, chars: np.ndar
     return {"row": row[first], "line": number[first], "start": place[first], "n_chars": place[last] + chars[last] - place[first], "n_words": words[last + 1] - words[first], "text": text.cast(pa.large_string())}
 
 
-def _row_keys(batch: pa.RecordBatch, row: np.ndarray, number: np.ndarray, h1: np.ndarray) -> np.ndarray:
-    ids = pc.fill_null(batch.column("doc_id").cast(pa.int64()), -1).to_numpy(zero_copy_only=False).astype(np.uint64)
-    return mix(mix(mix(ids[row]) ^ number.astype(np.uint64)) ^ h1)
+def _row_keys(batch: pa.RecordBatch, u: dict) -> np.ndarray:
+    """64 bits for each unit: its text and its place there."""
+    raw, ids = (pc.fill_null(batch.column(c).cast(pa.int64()), -1).to_numpy(zero_copy_only=False).astype(np.uint64) for c in ("raw", "doc_id"))
+    return mix(mix(mix(ids ^ mix(raw))[u["row"]] ^ u["start"].astype(np.uint64)) ^ u["n_chars"].astype(np.uint64))
 
 
 _UNITS = "doc_id long, raw long, kind string, line long, start long, n_chars long, n_words long, n long, h1 long, h2 long, rk long, sig array<long>"
@@ -150,7 +151,7 @@ def _units(least: int):
                 sig = bands(minhashes(s[np.repeat(banded, n)], starts(n[banded]), BANDS * ROWS, 2), ROWS, 3)
             lists = pa.ListArray.from_arrays(pa.array(starts(banded * BANDS).astype(np.int32)), long_array(sig.reshape(-1)), mask=pa.array(~banded))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(row), batch.column("raw").take(row), kind, *(pa.array(u[c]) for c in ("line", "start", "n_chars", "n_words")), pa.array(n), long_array(h1), long_array(h2), long_array(_row_keys(batch, u["row"], u["line"], h1)), lists],
+                [batch.column("doc_id").take(row), batch.column("raw").take(row), kind, *(pa.array(u[c]) for c in ("line", "start", "n_chars", "n_words")), pa.array(n), long_array(h1), long_array(h2), long_array(_row_keys(batch, u)), lists],
                 names=["doc_id", "raw", "kind", "line", "start", "n_chars", "n_words", "n", "h1", "h2", "rk", "sig"],
             )
 
@@ -209,15 +210,12 @@ def _windows(text: pa.Array, covered: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return h, at, np.repeat(np.arange(len(counts)), counts)[at], low[at], places
 
 
-def _seeds(batches):
-    """The least hashes, once for each place: one place is least in so many neighbouring windows at most."""
-    for batch in slices(batches, "text", 4 << 20):
-        _, at, row, low, _ = _windows(texts(batch), batch.column("covered"))
-        if len(at):
-            new = np.append(True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | (np.diff(at) > 1))
-            first = np.flatnonzero(new)
-            step = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-            yield pa.RecordBatch.from_arrays([long_array(low[step % (RUN - SEED + 1) == 0])], names=["seed"])
+def _seeds(at: np.ndarray, row: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which of some windows give their least hash, once for each place: one place is least in so many neighbouring windows at most."""
+    new = np.append(True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | (np.diff(at) > 1))
+    first = np.flatnonzero(new)
+    step = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return np.flatnonzero(step % (RUN - SEED + 1) == 0)
 
 
 def _word_places(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,7 +233,7 @@ def _word_places(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _candidates(held):
-    """Windows whose least hash is in a bitmap."""
+    """Windows whose least hash is in a bitmap; dead: they overlap a passage that goes for a near copy."""
 
     def run(batches):
         for batch in slices(batches, "text", 4 << 20):
@@ -244,21 +242,32 @@ def _candidates(held):
             if not len(some):
                 continue
             at, row = at[some], row[some]
+            start, stop = first[at], last[at + RUN - 1]
+            dead = np.zeros(len(at), bool)
+            for i, spans in enumerate(batch.column("lossy").to_pylist()):
+                a, b = np.searchsorted(row, [i, i + 1])
+                for x in spans:
+                    dead[a:b] |= (start[a:b] < x["stop"]) & (stop[a:b] > x["start"])
             own = pa.array(row)
+            ids = pc.fill_null(batch.column("doc_id"), _LAST)
             yield pa.RecordBatch.from_arrays(
-                [long_array(_sums(h, RUN)[at]), batch.column("doc_id").take(own), batch.column("raw").take(own), pa.array(number[at]), pa.array(first[at]), pa.array(last[at + RUN - 1])],
-                names=["h", "doc_id", "raw", "at", "start", "stop"],
+                [long_array(_sums(h, RUN)[at]), pa.array(dead), ids.take(own), batch.column("raw").take(own), pa.array(number[at]), pa.array(start), pa.array(stop)],
+                names=["h", "dead", "own", "raw", "at", "start", "stop"],
             )
 
     return run
 
 
 def _open(batches):
-    """Rows that have a window of RUN words not all of which are covered."""
+    """Rows that have a window of RUN words not all of which are covered, with the seeds of those windows."""
     for batch in slices(batches, "text", 4 << 20):
-        _, _, row, _, _ = _windows(texts(batch), batch.column("covered"))
+        _, at, row, low, _ = _windows(texts(batch), batch.column("covered"))
         if len(row):
-            yield batch.take(pa.array(np.unique(row)))
+            keep = np.unique(row)
+            some = _seeds(at, row, low)
+            edges = starts(np.bincount(row[some], minlength=batch.num_rows)[keep])
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), long_array(low[some]))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep)).columns, lists], names=[*batch.schema.names, "seeds"])
 
 
 def _runs(rows: DataFrame, units: DataFrame) -> DataFrame:
@@ -269,22 +278,16 @@ def _runs(rows: DataFrame, units: DataFrame) -> DataFrame:
     spans = lambda c: F.transform(c, lambda g: F.struct(g["start"].alias("start"), g["stop"].alias("stop")))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     near = near.select("doc_id", "raw", "text", F.coalesce(spans("gone"), none).alias("covered"), F.coalesce(spans(F.filter("gone", lambda g: g["lossy"])), none).alias("lossy"))
-    left = scratch(near.mapInArrow(_open, near.schema), "left")
-    seeds = left.select("text", "covered").mapInArrow(_seeds, "seed long").groupBy("seed").count().where("count > 1")
+    span = "array<struct<start:bigint,stop:bigint>>"
+    left = scratch(near.mapInArrow(_open, f"doc_id long, raw long, text string, covered {span}, lossy {span}, seeds array<long>"), "left")
+    seeds = left.select(F.explode("seeds").alias("seed")).groupBy("seed").count().where("count > 1")
     held = spark.sparkContext.broadcast(Bitmap.collect(seeds, "seed"))
-    windows = scratch(left.select("doc_id", "raw", "text", "covered").mapInArrow(_candidates(held), "h long, doc_id long, raw long, at long, start long, stop long"), "windows")
-    passed = spark.sparkContext.broadcast(Bitmap.collect(windows.groupBy("h").count().where("count > 1"), "h"))
-    once = windows.mapInArrow(_passing(passed, "h"), windows.schema)
-    lossy = left.where(F.size("lossy") > 0).select(F.col("doc_id").alias("id"), F.col("raw").alias("of"), F.col("lossy").alias("gone"))
-    near = once.join(lossy, (F.col("raw") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    dead = F.coalesce(F.exists("gone", lambda g: (g["start"] < F.col("stop")) & (g["stop"] > F.col("start"))), F.lit(False))
-    own = F.coalesce("doc_id", F.lit(_LAST))
-    found = scratch(near.select("doc_id", "raw", "at", "h", "start", "stop", F.struct(dead.alias("dead"), own.alias("doc_id"), "start", "raw").alias("place")), "found")
-    discard(windows, left)
-    copies = found.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1 AND NOT first.dead")
-    found = spread_join(found, copies, ["h"], ["doc_id", "raw"])
-    here = (F.col("first.doc_id") == own) & (F.col("first.raw") == F.col("raw"))
-    found = found.select("doc_id", "raw", "at", "start", "stop", F.col("first.doc_id").alias("keep"), F.col("first.raw").alias("keep_raw"), (F.col("start") - F.col("first.start")).alias("shift"), "size", here.alias("here"))
+    windows = scratch(left.drop("seeds").mapInArrow(_candidates(held), "h long, dead boolean, own long, raw long, at long, start long, stop long"), "windows")
+    discard(left)
+    copies = windows.groupBy("h").agg(F.min(F.struct("dead", "own", "start", "raw")).alias("first"), F.count("*").alias("size")).where("size > 1 AND NOT first.dead")
+    here = (F.col("first.own") == F.col("own")) & (F.col("first.raw") == F.col("raw"))
+    found = windows.drop("dead").join(copies, "h")
+    found = found.select(F.when(F.col("own") != _LAST, F.col("own")).alias("doc_id"), "raw", "at", "start", "stop", F.col("first.own").alias("keep"), F.col("first.raw").alias("keep_raw"), (F.col("start") - F.col("first.start")).alias("shift"), "size", here.alias("here"))
     # A window that overlaps the one it repeats is no second copy.
     found = found.where(~F.col("here") | (F.col("shift") == 0) | (F.abs("shift") >= F.col("stop") - F.col("start")))
     side = Window.partitionBy("doc_id", "raw", "keep", "keep_raw", "shift")
@@ -320,11 +323,12 @@ def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
         def fetch(batches):
             for batch in slices(batches, "text", 4 << 20):
                 u = _units_of(batch, min_words)
-                s, n = shingle_sets(u["text"])
-                h1, h2 = set_hashes(s, n)
-                rk = _row_keys(batch, u["row"], u["line"], h1)
-                keep = held.value.has(rk)
-                yield set_rows({"rk": rk[keep], "h1": h1[keep], "h2": h2[keep]}, s[np.repeat(keep, n)], n[keep])
+                rk = _row_keys(batch, u)
+                at = np.flatnonzero(held.value.has(rk))
+                if len(at):
+                    s, n = shingle_sets(u["text"].take(pa.array(at)))
+                    h1, h2 = set_hashes(s, n)
+                    yield set_rows({"rk": rk[at], "h1": h1, "h2": h2}, s, n)
 
         return rows.mapInArrow(fetch, "rk long, h1 long, h2 long, body binary")
 
@@ -339,7 +343,8 @@ def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
     # Most units have no copy: the bitmap drops them before the join.
     held = spark.sparkContext.broadcast(Bitmap.collect(named, "h1"))
     narrow = base.drop("n", "sig", "rk")
-    mine = spread_join(narrow.mapInArrow(_passing(held, "h1"), narrow.schema), named, ["h1", "h2"], ["doc_id", "start"], salts=8)
+    # A hot key's rows are split by AQE in this join and the next ones, as nothing behind them needs their partitioning.
+    mine = narrow.mapInArrow(_passing(held, "h1"), narrow.schema).join(named, ["h1", "h2"])
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "start", (-F.col("n_chars")).alias("minus"), "raw", "h1", "h2").alias("place")  # of two that begin together the longer
     mine = scratch(mine.select("comp", "doc_id", "raw", "kind", "line", "start", "n_chars", "n_words", place), "mine")
     discard(base, named, linked)
@@ -347,13 +352,13 @@ def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
     within = lambda p: F.col("place.doc_id").eqNullSafe(p["doc_id"]) & (F.col("raw") == p["raw"]) & (F.col("start") >= p["start"]) & (F.col("start") + F.col("n_chars") <= p["start"] - p["minus"])
     apart = lambda p: ((F.col("place.h1") != p["h1"]) | (F.col("place.h2") != p["h2"])) & ~within(p)
     near = apart(F.col("first"))
-    judged = spread_join(mine, first, ["comp"], ["doc_id", "start"], salts=8).withColumn("stop", F.col("start") + F.col("n_chars"))
+    judged = mine.join(first, "comp").withColumn("stop", F.col("start") + F.col("n_chars"))
     around = Window.partitionBy("doc_id", "raw").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
     dead = F.coalesce(F.max(F.when(near, F.col("stop"))).over(around) >= F.col("stop"), F.lit(False))
     judged = scratch(judged.select("*", F.struct(dead.alias("dead"), "place").alias("rank")).drop("first"), "judged")
     discard(mine)
     best = judged.groupBy("comp").agg(F.min("rank").alias("best"))
-    out = spread_join(judged, best, ["comp"], ["doc_id", "start"], salts=8)
+    out = judged.join(best, "comp")
     # What lies within the passage that stays is no copy of it.
     out = out.where((F.col("place") == F.col("best.place")) | ~within(F.col("best.place")))
     removed = ~F.col("best.dead") & (F.col("place") != F.col("best.place"))
