@@ -285,6 +285,7 @@ def _runs(rows: DataFrame, units: DataFrame) -> DataFrame:
     windows = scratch(left.drop("seeds").mapInArrow(_candidates(held), "h long, dead boolean, own long, raw long, at long, start long, stop long"), "windows")
     discard(left)
     copies = windows.groupBy("h").agg(F.min(F.struct("dead", "own", "start", "raw")).alias("first"), F.count("*").alias("size")).where("size > 1 AND NOT first.dead")
+    copies = scratch(copies, "copies")  # AQE splits a hot key of a join only where both sides are read as they were shuffled
     here = (F.col("first.own") == F.col("own")) & (F.col("first.raw") == F.col("raw"))
     found = windows.drop("dead").join(copies, "h")
     found = found.select(F.when(F.col("own") != _LAST, F.col("own")).alias("doc_id"), "raw", "at", "start", "stop", F.col("first.own").alias("keep"), F.col("first.raw").alias("keep_raw"), (F.col("start") - F.col("first.start")).alias("shift"), "size", here.alias("here"))
@@ -348,7 +349,7 @@ def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "start", (-F.col("n_chars")).alias("minus"), "raw", "h1", "h2").alias("place")  # of two that begin together the longer
     mine = scratch(mine.select("comp", "doc_id", "raw", "kind", "line", "start", "n_chars", "n_words", place), "mine")
     discard(base, named, linked)
-    first = mine.groupBy("comp").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1")
+    first = scratch(mine.groupBy("comp").agg(F.min("place").alias("first"), F.count("*").alias("size")).where("size > 1"), "first")
     within = lambda p: F.col("place.doc_id").eqNullSafe(p["doc_id"]) & (F.col("raw") == p["raw"]) & (F.col("start") >= p["start"]) & (F.col("start") + F.col("n_chars") <= p["start"] - p["minus"])
     apart = lambda p: ((F.col("place.h1") != p["h1"]) | (F.col("place.h2") != p["h2"])) & ~within(p)
     near = apart(F.col("first"))
@@ -357,7 +358,7 @@ def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
     dead = F.coalesce(F.max(F.when(near, F.col("stop"))).over(around) >= F.col("stop"), F.lit(False))
     judged = scratch(judged.select("*", F.struct(dead.alias("dead"), "place").alias("rank")).drop("first"), "judged")
     discard(mine)
-    best = judged.groupBy("comp").agg(F.min("rank").alias("best"))
+    best = scratch(judged.groupBy("comp").agg(F.min("rank").alias("best")), "best")
     out = judged.join(best, "comp")
     # What lies within the passage that stays is no copy of it.
     out = out.where((F.col("place") == F.col("best.place")) | ~within(F.col("best.place")))
@@ -367,7 +368,7 @@ def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
         out.select("doc_id", "raw", "kind", "line", "start", "stop", "n_chars", "n_words", F.when(keep != _LAST, keep).alias("keep_doc_id"), F.col("best.place.start").alias("keep_start"), F.col("size").alias("cluster_size"), removed.alias("removed"), (removed & near).alias("lossy")),
         "passages",
     )
-    discard(judged)
+    discard(judged, first, best)
     return out
 
 
