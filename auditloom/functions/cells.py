@@ -64,14 +64,46 @@ def signature(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[\p{L}&&[^\p{Lu}]]", "a"), r"\p{Nd}", "9")
 
 
-# Latin letters with marks and what they are without.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: What Unicode takes for white space, with the separators of old data streams.
+WHITE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def _combining() -> str:
+    """All characters that combine with the one before them."""
+    import sys
+    import unicodedata
+
+    return "".join(chr(i) for i in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(i)))
+
+
+COMBINING = _combining()
 
 
 def normalise(c: Column) -> Column:
-    """Lower case, Latin letters without marks, runs of white space as one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c.cast("string")), MARKED, PLAIN), r"\s+", " "))
+    """Compatibility decomposition without combining marks, case folded, runs of white space as one blank, trimmed.
+
+    Texts of ASCII alone, whose bytes are as many as their characters, only need lower case.
+    """
+    text = c.cast("string")
+    apart = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+    folded = F.try_reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.translate(apart, COMBINING, ""), F.lit(True))
+    plain = F.when(F.length(text) == F.octet_length(text), F.lower(text)).when(text.isNotNull(), folded)
+    return F.trim(F.regexp_replace(plain, WHITE, " "))
+
+
+def number(c: Column) -> Column:
+    """As a double; null, and no error, where a text is none."""
+    return c.try_cast("double")
+
+
+def amount(c: Column) -> Column:
+    """As a decimal of eight places; null, and no error, where a text is none."""
+    return c.try_cast(DECIMAL)
+
+
+def day(c: Column) -> Column:
+    """As a date; null, and no error, where a text is none."""
+    return c.try_cast("date")
 
 
 def comparable(c: Column, how: str = "as_is") -> Column:
@@ -96,7 +128,7 @@ def bad_spaces(c: Column) -> Column:
 
 def differs(x: Column, y: Column, tolerance: float = 0.0) -> Column:
     """Numbers whose difference, rounded to nine places, is over the tolerance."""
-    return F.abs(F.round(x.cast("double") - y.cast("double"), 9)) > F.lit(tolerance)
+    return F.abs(F.round(number(x) - number(y), 9)) > F.lit(tolerance)
 
 
 def luhn(c: Column) -> Column:

@@ -10,31 +10,73 @@ from pyspark.sql import functions as F
 from ..functions.cells import blank, comparable, tidy_spaces
 
 
-def wide_date(c: Column, cutoff: str) -> Column:
-    """ISO text of d/m/Y with ``/``, ``.`` or ``-``, ISO dates and two-figure years (20xx up to the cut-off); null if none of them or no real day."""
-    t = F.trim(c)
-    form = F.regexp_replace(t, r"[.\-]", "/")
-    full = F.when(form.rlike(r"^\d{1,2}/\d{1,2}/\d{4}\z"), F.try_to_timestamp(form, F.lit("d/M/yyyy")).cast("date"))
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("date"))
-    short = F.when(form.rlike(r"^\d{1,2}/\d{1,2}/\d{2}\z"), F.try_to_timestamp(F.regexp_replace(form, r"/(\d{2})\z", "/20$1"), F.lit("d/M/yyyy")).cast("date"))
-    short = F.when(short <= F.lit(cutoff).cast("date"), short)
-    return F.date_format(F.coalesce(iso, full, short), "yyyy-MM-dd")
+#: The blanks that may stand between thousands and before units.
+GAP = "[ \u00a0\u202f]"
+
+
+def _said(value: Column, *refusals: tuple[Column, str]) -> Column:
+    """struct(value, refusal): the first refusal whose condition holds, else the value."""
+    why = F.lit(None).cast("string")
+    for when, name in reversed(refusals):
+        why = F.when(F.coalesce(when, F.lit(False)), name).otherwise(why)
+    return F.struct(F.when(why.isNull(), value).alias("value"), why.alias("refusal"))
+
+
+def read_date(c: Column, cutoff: str | None) -> Column:
+    """struct(value, refusal): ISO text of ``dd/mm/yyyy`` (one of ``/ . -``, twice), ``yyyy-mm-dd``, ``yyyymmdd`` and ``dd/mm/yy``.
+
+    Two-figure years are 20xx, up to the cut-off. Refusals: impossible_date,
+    no_cutoff, after_cutoff. Other texts have neither value nor refusal.
+    """
+    t = F.trim(c.cast("string"))
+    form = F.regexp_replace(t, r"^(\d{2})([/.\-])(\d{2})\2(\d{2}|\d{4})\z", "$1/$3/$4")
+    read = lambda x, f: F.try_to_timestamp(x, F.lit(f)).cast("date")
+    long, iso, plain, short = form.rlike(r"^\d{2}/\d{2}/\d{4}\z"), t.rlike(r"^\d{4}-\d{2}-\d{2}\z"), t.rlike(r"^\d{8}\z"), form.rlike(r"^\d{2}/\d{2}/\d{2}\z")
+    date = F.when(long, read(form, "dd/MM/yyyy")).when(iso, read(t, "yyyy-MM-dd")).when(plain, read(t, "yyyyMMdd")).when(short, read(F.concat(F.substring(form, 1, 6), F.lit("20"), F.substring(form, 7, 2)), "dd/MM/yyyy"))
+    late = date > F.lit(cutoff).cast("date")
+    return _said(F.date_format(date, "yyyy-MM-dd"), ((long | iso | plain | short) & date.isNull(), "impossible_date"), (short & F.lit(cutoff is None), "no_cutoff"), (short & late, "after_cutoff"))
+
+
+def read_number(c: Column) -> Column:
+    """struct(value, refusal): plain text of whole numbers, of decimals with comma or point, and of thousands set apart by blanks; a euro sign may end it.
+
+    Refusal: ambiguous_separator, for three places after a point.
+    """
+    t = F.regexp_replace(F.trim(c.cast("string")), f"{GAP}?€\\z", "")
+    ambiguous = t.rlike(r"^-?\d+\.\d{3}\z")
+    plain = t.rlike(r"^-?\d+([.,]\d+)?\z") | t.rlike(f"^-?\\d{{1,3}}({GAP}\\d{{3}})+(,\\d+)?\\z")
+    return _said(F.when(plain, F.replace(F.regexp_replace(t, GAP, ""), F.lit(","), F.lit("."))), (ambiguous, "ambiguous_separator"))
+
+
+def read_duration(c: Column) -> Column:
+    """struct(value, refusal): minutes, a decimal, of ``95 min`` (mn, minutes), ``2 h`` and ``1,5 h`` (heures), ``1h10`` (``1 h 10 min``) or a whole number of minutes.
+
+    ``1:10`` is a time of day and no duration. Refusal: inexact_duration, for
+    more than six places.
+    """
+    t = F.lower(F.trim(c.cast("string")))
+    both = f"^(\\d+){GAP}?h{GAP}?(\\d{{1,2}})({GAP}?(?:min|mn|minutes?))?\\z"
+    minutes, hours, whole = f"^(\\d+(?:[.,]\\d+)?){GAP}?(?:min|mn|minutes?)\\z", f"^(\\d+(?:[.,]\\d+)?){GAP}?(?:h|heures?)\\z", r"^\d+\z"
+    part = lambda p, g: F.replace(F.regexp_extract(t, p, g), F.lit(","), F.lit(".")).try_cast("decimal(38,12)")
+    rest = part(both, 2)
+    value = F.when(t.rlike(both), F.when(rest <= 59, part(both, 1) * 60 + rest)).when(t.rlike(minutes), part(minutes, 1)).when(t.rlike(hours), part(hours, 1) * 60).when(t.rlike(whole), t.try_cast("decimal(38,12)"))
+    short = value.cast("decimal(28,6)")
+    return _said(short, (value != short, "inexact_duration"))
+
+
+def wide_date(c: Column, cutoff: str | None) -> Column:
+    """The value of ``read_date``."""
+    return read_date(c, cutoff)["value"]
 
 
 def wide_number(c: Column) -> Column:
-    """Plain text of numbers with blanks between thousands, a decimal comma or a euro sign; null for others and for ``1.234``, which is ambiguous."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(c), r"[\h€]", ""), ",", ".")
-    ambiguous = F.trim(c).rlike(r"^-?\d{1,3}\.\d{3}\z")
-    return F.when(t.rlike(r"^-?\d+(\.\d+)?\z") & ~ambiguous, t)
+    """The value of ``read_number``."""
+    return read_number(c)["value"]
 
 
 def wide_duration(c: Column) -> Column:
-    """Minutes of ``1h30``, ``1 h 30 min``, ``90 min``, ``1:30`` or a plain number of minutes."""
-    t = F.lower(F.regexp_replace(F.trim(c), r"\h", ""))
-    part = lambda p, g: F.coalesce(F.regexp_extract(t, p, g).try_cast("int"), F.lit(0))
-    hours = r"^(\d+)h(?:(\d{1,2})(?:m|mn|min)?)?\z"
-    colon = r"^(\d+):([0-5]\d)\z"
-    return F.when(t.rlike(hours), part(hours, 1) * 60 + part(hours, 2)).when(t.rlike(colon), part(colon, 1) * 60 + part(colon, 2)).when(t.rlike(r"^\d+(m|mn|min)?\z"), part(r"^(\d+)", 1))
+    """The value of ``read_duration``."""
+    return read_duration(c)["value"]
 
 
 def reference_form(df: DataFrame, column: str, reference: DataFrame, reference_column: str, least: float = 0.95) -> Column | DataFrame:
@@ -59,6 +101,8 @@ def journal(steps: Sequence[tuple[str, Mapping[str, Column]]], df: DataFrame, ke
             out = out.withColumn(mark, F.when(~after.eqNullSafe(F.col(c)), F.struct(F.lit(step).alias("step"), F.lit(c).alias("column"), F.col(c).cast("string").alias("before"), after.cast("string").alias("after"))))
             out = out.withColumn(c, F.coalesce(F.col(f"{mark}.after"), F.col(c)))
             changes.append(mark)
+    if not changes:
+        return df, df.select(*keys, *[F.lit(None).cast("string").alias(x) for x in ("step", "column", "before", "after")]).limit(0)
     log = out.select(*keys, F.explode(F.array_compact(F.array(*changes))).alias("j")).select(*keys, "j.step", "j.column", "j.before", "j.after")
     return out.drop(*changes), log
 
@@ -92,6 +136,82 @@ def apply_decisions(df: DataFrame, key: str, decisions: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(F.size(mine(c, "correct")) == 1, F.element_at(mine(c, "correct"), 1)["value"]).otherwise(F.col(c)) for c in text}).select(*df.columns)
 
 
+def natures_step(natures: Mapping[str, tuple[str, str | None]]) -> tuple[str, dict[str, Column]]:
+    """Cells written as their column's nature, date, number or duration, by (nature, cut-off); what is refused stays as it is."""
+    readers = {"date": lambda c, cutoff: wide_date(c, cutoff), "number": lambda c, _: wide_number(c), "duration": lambda c, _: F.regexp_replace(wide_duration(c).cast("string"), r"\.?0+\z", "")}
+    return "nature", {c: readers[n](F.col(c), cutoff) for c, (n, cutoff) in natures.items()}
+
+
+def refusals(df: DataFrame, natures: Mapping[str, tuple[str, str | None]], keys: Sequence[str]) -> DataFrame:
+    """(keys..., column, value, refusal) of filled cells that can't be written as their nature; ``unreadable`` for forms of no kind."""
+    readers = {"date": lambda c, cutoff: read_date(c, cutoff), "number": lambda c, _: read_number(c), "duration": lambda c, _: read_duration(c)}
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), readers[n](F.col(c), cutoff).alias("r")) for c, (n, cutoff) in natures.items()])
+    rows = df.select(*keys, F.explode(cells).alias("x")).where(~blank(F.col("x.value")) & F.col("x.r.value").isNull())
+    return rows.select(*keys, "x.column", "x.value", F.coalesce("x.r.refusal", F.lit("unreadable")).alias("refusal"))
+
+
+def clean_table(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    encoded: Sequence[str] = (),
+    spaces: Sequence[str] = (),
+    forms: Mapping[str, tuple[DataFrame, str]] | None = None,
+    replacements: Mapping[str, Mapping[str, str]] | None = None,
+    natures: Mapping[str, tuple[str, str | None]] | None = None,
+    duplicates: Sequence[str] = (),
+    decisions: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cleaned, journal, refused) after the seven steps in their order: encoding, spaces, reference form, replacement, nature, duplicates, decisions.
+
+    Each step sees the cells as the last one left them. journal: keys..., step,
+    column, before, after for each changed cell, and a row without column for
+    each row that the last two steps take away. refused: what ``refusals`` gives.
+    ``keys`` name a row in the journal; the first of them is what ``decisions``
+    name. ``order`` tells which of equal rows is first.
+    """
+    out, logs = df, []
+    for c in encoded:
+        fixed = mojibake(out, c).select(F.col("text").alias("__text"), F.col("repaired").alias("__fixed"))
+        joined = out.join(fixed, F.col(c) == F.col("__text"), "left")
+        out, log = journal([("encoding", {c: F.col("__fixed")})], joined, keys)
+        out = out.select(*df.columns)
+        logs.append(log)
+    steps = [spaces_step(spaces)]
+    out, log = journal(steps, out, keys)
+    logs.append(log)
+    for c, (reference, column) in (forms or {}).items():
+        out, log = journal([("reference_form", {c: F.col("_form")})], reference_form(out, c, reference, column), keys)
+        out = out.select(*df.columns)
+        logs.append(log)
+    refused = refusals(replaced(out, replacements or {}), natures, keys) if natures else None
+    out, log = journal([replacement_step(replacements or {}), natures_step(natures or {})], out, keys)
+    logs.append(log)
+    gone = lambda rows, step: rows.select(*keys, F.lit(step).alias("step"), F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
+    if duplicates:
+        from .verdict import without_surplus
+
+        marked = without_surplus(out, duplicates, order)
+        logs.append(gone(marked.where("surplus"), "duplicates"))
+        out = marked.where("NOT surplus").select(*df.columns)
+    if decisions is not None:
+        after = apply_decisions(out, keys[0], decisions)
+        logs.append(gone(out.join(after.select(*keys), list(keys), "left_anti"), "decisions"))
+        text = [c for c, t in df.dtypes if t == "string" and c not in keys]
+        both = out.join(after.select(*keys, F.struct(*[F.col(c).alias(c) for c in text]).alias("__new")), list(keys))
+        _, log = journal([("decisions", {c: F.col(f"__new.{c}") for c in text})], both, keys)
+        logs.append(log)
+        out = after
+    whole = logs[0]
+    for x in logs[1:]:
+        whole = whole.unionByName(x)
+    return out, whole, refused if refused is not None else whole.select(*keys, "column", F.col("before").alias("value"), F.lit(None).cast("string").alias("refusal")).limit(0)
+
+
+def replaced(df: DataFrame, replacements: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(new, F.col(c)) for c, new in replacement_step(replacements)[1].items()})
+
+
 def mojibake(df: DataFrame, column: str) -> DataFrame:
     """(text, repaired): distinct texts of the column that read as UTF-8 decoded as Windows-1252, and what they were.
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import blank, comparable, differs
-from .verdict import ANOMALY, ARBITRATE, INFORMATION, finding, verdict
+from ..functions.cells import amount as decimal
+from ..functions.cells import blank, comparable, day, differs, number
+from .verdict import ANOMALY, ARBITRATE, INFORMATION, finding, raw, verdict
 
 
 def _bad_key(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with ``_times``: how often the row's key stands in the whole table. Counted apart, so no key is gathered."""
+    """``df`` with ``_times``: how often the row's key stands in the whole table (``__times`` where rows were left out since). Counted apart, so no key is gathered."""
+    if "__times" in df.columns:
+        return df.withColumn("_times", F.col("__times"))
     return df.join(df.groupBy(key).agg(F.count("*").alias("_times")), key, "left")
 
 
@@ -28,10 +31,10 @@ def unique_lookup(reference: DataFrame, key: str, columns: Sequence[str], prefix
 
 def total_of_lines(df: DataFrame, lines: DataFrame, key: str, total: str, line_key: str, amount: str, tolerance: float = 0.0, outcome: str = ANOMALY) -> DataFrame:
     """A header's total is the sum of its lines; no line is a finding, even if the total can't be read."""
-    sums = lines.groupBy(F.col(line_key).alias(key)).agg(F.round(F.sum(F.col(amount).cast("decimal(28,8)")), 8).alias("_sum"), F.bool_or(F.col(amount).isNull()).alias("_unread"), F.count("*").alias("_lines"))
+    sums = lines.groupBy(F.col(line_key).alias(key)).agg(F.round(F.sum(decimal(F.col(amount))), 8).alias("_sum"), F.bool_or(decimal(F.col(amount)).isNull()).alias("_unread"), F.count("*").alias("_lines"))
     out = _bad_key(df, key).join(sums, key, "left")
     none = F.col("_lines").isNull()
-    ok = ~blank(F.col(key)) & (F.col("_times") == 1) & (none | (F.col(total).isNotNull() & ~F.col("_unread")))
+    ok = ~blank(F.col(key)) & (F.col("_times") == 1) & (none | (number(F.col(total)).isNotNull() & ~F.col("_unread")))
     return _own(verdict(out, ok, [finding(none, "no_line", F.col(key), outcome), finding(~none & differs(F.col(total), F.col("_sum"), tolerance), "total_differs", F.round(F.col("_sum").cast("double"), 2), outcome)]), df)
 
 
@@ -50,10 +53,10 @@ def exists_in(df: DataFrame, key: str, reference: DataFrame, reference_key: str,
 
 def date_in_reference_period(df: DataFrame, key: str, date: str, reference: DataFrame, reference_key: str, start: str, end: str, outcome: str = ANOMALY) -> DataFrame:
     """The date lies in one of its key's periods, both ends included, an empty end open. A period without start makes failing dates not evaluable."""
-    own = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_d", F.col(date).cast("date"))
-    periods = reference.select(F.col(reference_key).alias("_k"), F.col(start).cast("date").alias("_a"), F.col(end).cast("date").alias("_z")).where(~blank(F.col("_k")))
+    own = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_d", day(F.col(date)))
+    periods = reference.select(F.col(reference_key).alias("_k"), day(F.col(start)).alias("_a"), day(F.col(end)).alias("_z"), blank(raw(reference, end)).alias("_open")).where(~blank(F.col("_k")))
     # The periods of a key are merged to one array of distinct ones: no row is multiplied by the join.
-    byk = periods.groupBy("_k").agg(F.collect_set(F.when(F.col("_a").isNotNull(), F.struct("_a", F.coalesce("_z", F.lit("9999-12-31").cast("date")).alias("_z")))).alias("_spans"), F.bool_or(F.col("_a").isNull()).alias("_unusable"))
+    byk = periods.groupBy("_k").agg(F.collect_set(F.when(F.col("_a").isNotNull() & (F.col("_open") | F.col("_z").isNotNull()), F.struct("_a", F.coalesce("_z", F.lit("9999-12-31").cast("date")).alias("_z")))).alias("_spans"), F.bool_or(F.col("_a").isNull() | (~F.col("_open") & F.col("_z").isNull())).alias("_unusable"))
     out = own.join(byk, own[key] == byk["_k"], "left")
     inside = F.exists(F.coalesce("_spans", F.array().cast("array<struct<_a:date,_z:date>>")), lambda p: (F.col("_d") >= p["_a"]) & (F.col("_d") <= p["_z"]))
     known = F.col("_k").isNotNull()
@@ -63,8 +66,8 @@ def date_in_reference_period(df: DataFrame, key: str, date: str, reference: Data
 
 
 def year_in_reference(df: DataFrame, date: str, reference: DataFrame, year: str, outcome: str = ANOMALY) -> DataFrame:
-    known = reference.where(F.col(year).isNotNull()).select(F.col(year).cast("int").alias("_y")).distinct().withColumn("_known", F.lit(True))
-    out = df.withColumn("_y", F.year(date)).join(known, "_y", "left")
+    known = reference.select(number(F.col(year)).try_cast("int").alias("_y")).where("_y IS NOT NULL").distinct().withColumn("_known", F.lit(True))
+    out = df.withColumn("_y", F.year(day(F.col(date)))).join(known, "_y", "left")
     return _own(verdict(out, F.col("_y").isNotNull(), [finding(F.col("_known").isNull(), "year_absent", F.col("_y"), outcome)]), df)
 
 
@@ -73,8 +76,8 @@ def unique_link_in_delay(df: DataFrame, key: str, date: str, links: DataFrame, l
     dated = unique_lookup(documents, document_key, [document_date], "_doc_")
     by_key = links.where(~blank(F.col(link_key))).groupBy(F.col(link_key).alias(key)).agg(F.count_distinct(document).alias("_docs"), F.min(document).alias("_doc"), F.bool_or(blank(F.col(document))).alias("_hollow"))
     out = _bad_key(df, key).join(by_key, key, "left").join(dated, F.col("_doc") == F.col("_key"), "left")
-    d, none = F.col(date).cast("date"), F.col("_docs").isNull()
-    delay = F.datediff(F.col(f"_doc_{document_date}"), d)
+    d, none = day(F.col(date)), F.col("_docs").isNull()
+    delay = F.datediff(day(F.col(f"_doc_{document_date}")), d)
     one = F.col("_docs") == 1
     ok = ~blank(F.col(key)) & (F.col("_times") == 1) & d.isNotNull() & (none | (~F.col("_hollow") & (~one | delay.isNotNull())))
     waiting = F.when(F.date_add(d, most) > F.lit(cutoff).cast("date"), INFORMATION).otherwise(outcome)
@@ -82,9 +85,6 @@ def unique_link_in_delay(df: DataFrame, key: str, date: str, links: DataFrame, l
     return _own(verdict(out, ok, found), df)
 
 
-Conditions = Sequence[Callable[[str], Column]]
-
-
 def reference_conforms(df: DataFrame, key: str, reference: DataFrame, reference_key: str, conditions: Mapping[str, Sequence], exceptions: Mapping[str, Sequence] | None = None, outcome: str = ANOMALY) -> DataFrame:
     """The key's one reference row has an admitted value in each column; a row that an exception covers is information."""
     columns = list(dict.fromkeys([*conditions, *(exceptions or {})]))
@@ -130,14 +130,14 @@ def linked_row_expected(df: DataFrame, key: str, linked: DataFrame, linked_key:
 def conforms_by_hours(df: DataFrame, key: str, reference: DataFrame, reference_key: str, moment: str, inside: Callable[[Column], Column], within: Column, beyond: Column, outcome: str = ANOMALY) -> DataFrame:
     """The row meets ``within`` if its reference row's moment lies in the hours, else ``beyond``."""
     out = df.join(unique_lookup(reference, reference_key, [moment]), F.col(key) == F.col("_key"), "left")
-    t = F.col(f"_ref_{moment}")
+    t = F.col(f"_ref_{moment}").try_cast("timestamp")
     found = [finding(inside(t) & ~within, "not_as_in_hours", F.col(key), outcome), finding(~inside(t) & ~beyond, "not_as_outside_hours", F.col(key), outcome)]
     return _own(verdict(out, t.isNotNull() & within.isNotNull() & beyond.isNotNull(), found), df)
 
 
 def quantities_agree(df: DataFrame, key: str, a: DataFrame, b: DataFrame, detail: str, quantity: str, tolerance: float = 0.0, out_of_scope_without_b: bool = False, outcome: str = ANOMALY) -> DataFrame:
     """By key and detail the sum in ``a`` equals the sum in ``b`` (nothing counts as zero); one finding names all details that differ."""
-    side = lambda x, s: x.select(F.col(key), F.col(detail).alias("_detail"), (F.col(quantity) * s).cast("decimal(28,8)").alias("_q"), F.lit(s).alias("_side"))
+    side = lambda x, s: x.select(F.col(key), F.col(detail).alias("_detail"), (decimal(F.col(quantity)) * s).cast("decimal(28,8)").alias("_q"), F.lit(s).alias("_side"))
     sums = side(a, 1).unionByName(side(b, -1)).groupBy(key, "_detail").agg(F.sum("_q").alias("_diff"), F.bool_or(F.col("_q").isNull() | blank(F.col("_detail"))).alias("_unread"), F.bool_or(F.col("_side") == -1).alias("_b"))
     off = F.abs(F.round(F.col("_diff").cast("double"), 9)) > tolerance
     byk = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.when(off, F.col("_detail").cast("string")))).alias("_off"), F.bool_or("_unread").alias("_unread"), F.bool_or("_b").alias("_b"))
@@ -149,41 +149,36 @@ def quantities_agree(df: DataFrame, key: str, a: DataFrame, b: DataFrame, detail
 
 def linked_sum_rounded(df: DataFrame, key: str, target: str, linked: DataFrame, linked_key: str, amount: str, divisor: float, step: float, how: str = "up", least: float = 0.0, tolerance: float = 0.0, outcome: str = ANOMALY) -> DataFrame:
     """Sum of linked rows = value / divisor rounded to a step (``up``, ``down`` or ``nearest``), at least ``least``; none linked is out of scope."""
-    sums = linked.groupBy(F.col(linked_key).alias(key)).agg(F.sum(F.col(amount).cast("decimal(28,8)")).alias("_sum"), F.bool_or(F.col(amount).isNull()).alias("_unread"))
+    sums = linked.groupBy(F.col(linked_key).alias(key)).agg(F.sum(decimal(F.col(amount))).alias("_sum"), F.bool_or(decimal(F.col(amount)).isNull()).alias("_unread"))
     out = _bad_key(df, key).join(sums, key, "left")
-    q = F.round(F.col(target).cast("double") / divisor / step, 9)
+    q = F.round(number(F.col(target)) / divisor / step, 9)
     units = {"up": F.ceil(q), "down": F.floor(q), "nearest": F.floor(q + 0.5)}[how]
     expected = F.greatest(units.cast("double") * step, F.lit(float(least)))
-    ok = ~blank(F.col(key)) & (F.col("_times") == 1) & F.col(target).isNotNull() & ~F.col("_unread")
+    ok = ~blank(F.col(key)) & (F.col("_times") == 1) & number(F.col(target)).isNotNull() & ~F.col("_unread")
     return _own(verdict(out, ok, [finding(differs(F.col("_sum"), expected, tolerance), "differs_from_rounded", F.round(F.col("_sum").cast("double"), 4), outcome, F.round(expected, 4))], F.col("_unread").isNotNull()), df)
 
 
 def linked_sums_agree(df: DataFrame, key: str, linked: DataFrame, linked_key: str, sums: Sequence[tuple[str, Column, Column]], same_date: tuple[str, str] | None = None, group: str | None = None, tolerance: float = 0.0, outcome: str = ANOMALY) -> DataFrame:
     """Several sums of linked rows, each (own amount, condition, signed amount), agree; one date and one group if asked. Findings in the order group, date, sums."""
-    aggs = [F.sum(F.when(when, amount.cast("decimal(28,8)")).otherwise(F.lit(0))).alias(f"_s{i}") for i, (_, when, amount) in enumerate(sums)]
+    aggs = [F.sum(F.when(when, decimal(amount)).otherwise(F.lit(0))).alias(f"_s{i}") for i, (_, when, amount) in enumerate(sums)]
     unread = F.lit(False)
     for _, when, amount in sums:
-        unread = unread | (when & amount.isNull())
+        unread = unread | (when & decimal(amount).isNull())
     if same_date:
-        aggs += [F.min(F.col(same_date[1]).cast("date")).alias("_first"), F.max(F.col(same_date[1]).cast("date")).alias("_last")]
+        aggs += [F.min(day(F.col(same_date[1]))).alias("_first"), F.max(day(F.col(same_date[1]))).alias("_last"), F.bool_or(day(F.col(same_date[1])).isNull()).alias("_undated")]
     if group:
         aggs.append(F.count_distinct(group).alias("_groups"))
     byk = linked.groupBy(F.col(linked_key).alias(key)).agg(F.bool_or(unread).alias("_unread"), F.count("*").alias("_rows"), *aggs)
     out = _bad_key(df, key).join(byk, key, "left")
     ok, off = ~blank(F.col(key)) & (F.col("_times") == 1) & (F.col("_rows").isNull() | ~F.col("_unread")), F.lit(False)
     for i, (own, _, _) in enumerate(sums):
-        ok, off = ok & F.col(own).isNotNull(), off | differs(F.col(own), F.coalesce(f"_s{i}", F.lit(0)), tolerance)
+        ok, off = ok & number(F.col(own)).isNotNull(), off | differs(F.col(own), F.coalesce(f"_s{i}", F.lit(0)), tolerance)
     found = []
     if group:
         found.append(finding(F.col("_groups") > 1, "several_groups", F.col("_groups"), outcome))
     if same_date:
-        d = F.col(same_date[0]).cast("date")
-        ok = ok & d.isNotNull()
+        d = day(F.col(same_date[0]))
+        ok = ok & d.isNotNull() & ~F.coalesce("_undated", F.lit(False))
         found.append(finding((F.col("_first") != d) | (F.col("_last") != d), "date_differs", F.date_format("_first", "yyyy-MM-dd"), outcome))
     found.append(finding(off, "sums_differ", F.concat_ws(" | ", *[F.round(F.coalesce(f"_s{i}", F.lit(0)).cast("double"), 2).cast("string") for i in range(len(sums))]), outcome))
     return _own(verdict(out, ok, found), df)
-
-
-def repeated_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in a total order."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from . import linked_rules as linked
 from . import row_rules as row
 from . import sequence_rules as seq
-from .verdict import ANOMALY, ARBITRATE, CONTROLLED, INFORMATION, OUT_OF_SCOPE, SURPLUS, condition, without_surplus
+from ..functions.cells import read
+from ..sources.readers import LINEAGE
+from .verdict import ANOMALY, ARBITRATE, CONTROLLED, FINDING, INFORMATION, OUT_OF_SCOPE, SURPLUS, condition, raw, without_surplus
 
 ALL_ROWS, NO_SURPLUS = "all", "without_surplus"
 
@@ -103,7 +105,7 @@ def problems(rules: Sequence[Rule], tables: Mapping[str, DataFrame]) -> list[str
             continue
         kind = TYPES[r.type]
         out += [f"{r.ref}: {p} is missing" for p in kind.required if p not in r.parameters]
-        out += [f"{r.ref}: no table {n}" for n in [r.table, *(r.parameters[p] for p in kind.tables if isinstance(r.parameters.get(p), str))] if n not in tables]
+        out += [f"{r.ref}: no table {n}" for n in [r.table, *_linked(r.parameters, kind)] if n not in tables]
         if r.outcome not in (None, ANOMALY, ARBITRATE, INFORMATION):
             out.append(f"{r.ref}: no outcome {r.outcome}")
         if r.table in tables:
@@ -117,54 +119,102 @@ def problems(rules: Sequence[Rule], tables: Mapping[str, DataFrame]) -> list[str
     return out
 
 
-def evaluate(tables: Mapping[str, DataFrame], rules: Sequence[Rule], order: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
+#: Types that refuse keys which stand more than once in the view, by the parameter that names the key.
+UNIQUE_KEY = frozenset("total_of_lines unique_link_in_delay quantities_agree linked_sum_rounded linked_sums_agree".split())
+
+
+def typed(df: DataFrame, natures: Mapping[str, str]) -> DataFrame:
+    """``df`` with the columns of ``natures`` read (null where unreadable) and the cells as loaded beside them."""
+    named = {c: n for c, n in natures.items() if c in df.columns}
+    return df.withColumns({f"__raw_{c}": F.col(c) for c in named}).withColumns({c: read(F.col(c), n)["value"] for c, n in named.items()})
+
+
+def _untyped(v: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The cells as loaded, where ``v`` holds them."""
+    return v.select(*[F.col(f"__raw_{c}").alias(c) if f"__raw_{c}" in v.columns else F.col(c) for c in columns], "state", "findings")
+
+
+def _linked(parameters: Mapping, kind: RuleType) -> list[str]:
+    """The names of the other tables of a rule, also those of its lookups."""
+    named = [parameters[p] for p in kind.tables if isinstance(parameters.get(p), str)]
+    return named + [v[1] for v in parameters.values() if isinstance(v, tuple) and len(v) == 4 and isinstance(v[1], str)]
+
+
+def evaluate(tables: Mapping[str, DataFrame], rules: Sequence[Rule], order: Mapping[str, Sequence[str]] | None = None, natures: Mapping[str, Mapping[str, str]] | None = None) -> dict[str, DataFrame]:
     """Each rule's verdicts by its reference.
 
-    Rows outside a rule's scope, and surplus duplicates where the type's view
-    leaves them out (only where ``order`` names the table's total order), come
-    back as such and are counted.
+    ``natures``: how the columns of each table are read; a cell that can't be
+    makes its row not evaluable. Types that compare rows work on the view
+    without surplus duplicates (data columns only, whatever their lineage): their
+    own table and the linked ones; ``order`` must give a total order of
+    each. Rows of the rule's table outside its scope, and its surplus ones, come
+    back as such and are counted; how often a key stands is counted before the
+    scope is applied. Cells come back as they were loaded.
     """
-    if found := problems(rules, tables):
+    order, natures = order or {}, natures or {}
+    found = problems(rules, tables)
+    for r in rules:
+        if r.type in TYPES and TYPES[r.type].view == NO_SURPLUS:
+            found += [f"{r.ref}: no total order of {t} is given" for t in dict.fromkeys([r.table, *_linked(r.parameters, TYPES[r.type])]) if t in tables and t not in order]
+    if found:
         raise RuleErrors(found)
+    views: dict[str, DataFrame] = {}
+
+    def marked(name: str) -> DataFrame:
+        if name not in views:
+            df = tables[name]
+            views[name] = without_surplus(df, [c for c in df.columns if c not in LINEAGE], order[name])
+        return views[name]
+
+    def given(name: str, kind: RuleType) -> DataFrame:
+        df = marked(name).where(~F.col("surplus")).drop("surplus") if kind.view == NO_SURPLUS else tables[name]
+        return typed(df, natures.get(name, {}))
+
     out = {}
     for r in rules:
-        kind, df = TYPES[r.type], tables[r.table]
-        own = [c for c in df.columns]
+        kind, own = TYPES[r.type], list(tables[r.table].columns)
         keep = F.lit(True)
         for column, values, pattern in r.scope:
             keep = keep & condition(F.col(column), values, pattern)
         set_aside = []
-        if kind.view == NO_SURPLUS and order and r.table in order:
-            marked = without_surplus(df, own, order[r.table])
-            set_aside.append(_aside(marked.where("surplus").select(*own), SURPLUS))
-            df = marked.where(~F.col("surplus")).select(*own)
+        df = tables[r.table]
+        if kind.view == NO_SURPLUS:
+            set_aside.append(_aside(marked(r.table).where("surplus").select(*own), SURPLUS))
+            df = marked(r.table).where(~F.col("surplus")).select(*own)
+        if r.type in UNIQUE_KEY and r.scope:
+            key = r.parameters["key"]
+            df = df.join(df.groupBy(key).agg(F.count("*").alias("__times")), key, "left")
         if r.scope:
-            set_aside.append(_aside(df.where(~keep), OUT_OF_SCOPE))
+            set_aside.append(_aside(df.where(~keep).select(*own), OUT_OF_SCOPE))
             df = df.where(keep)
-        given = {k: tables[v] if k in kind.tables and isinstance(v, str) else v for k, v in r.parameters.items()}
-        v = kind.function(df, **given, outcome=r.outcome or kind.outcome)
+        df = typed(df, natures.get(r.table, {}))
+        parameters = {k: given(v, kind) if k in kind.tables and isinstance(v, str) else v for k, v in r.parameters.items()}
+        parameters = {k: (v[0], given(v[1], kind), *v[2:]) if isinstance(v, tuple) and len(v) == 4 and isinstance(v[1], str) else v for k, v in parameters.items()}
+        v = kind.function(df, **parameters, outcome=r.outcome or kind.outcome)
+        if r.type == "period_totals":  # a row for each period, not for each row of the table
+            out[r.ref] = v
+            continue
+        v = _untyped(v, own)
         for x in set_aside:
-            v = v.unionByName(x, allowMissingColumns=True)
+            v = v.unionByName(x)
         out[r.ref] = v
     return out
 
 
 def _aside(df: DataFrame, state: str) -> DataFrame:
-    from .verdict import FINDING
-
     return df.withColumn("state", F.lit(state)).withColumn("findings", F.array().cast(FINDING))
 
 
-def evaluate_rows(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> DataFrame:
+def evaluate_rows(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str], natures: Mapping[str, str] | None = None) -> DataFrame:
     """All row-local rules of one table in one scan: keys, rule, state, label, value, proposal, outcome; rows without finding have none."""
-    wide = df
+    wide = typed(df, natures or {})
     for r in rules:
         kind = TYPES[r.type]
         if not kind.row_local:
             raise ValueError(f"{r.ref} looks at more than its row")
         keep = F.lit(True)
         for column, values, pattern in r.scope:
-            keep = keep & condition(F.col(column), values, pattern)
+            keep = keep & condition(raw(wide, column), values, pattern)
         wide = kind.function(wide, **r.parameters, outcome=r.outcome or kind.outcome)
         state = F.when(keep, F.col("state")).otherwise(OUT_OF_SCOPE)
         wide = wide.withColumn(f"_rule_{r.ref}", F.struct(F.lit(r.ref).alias("rule"), state.alias("state"), F.when(state == CONTROLLED, F.col("findings")).otherwise(F.array()).alias("findings"))).drop("state", "findings")

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import blank, differs
+from ..functions.cells import amount as decimal
+from ..functions.cells import blank, day, differs
 from .verdict import ANOMALY, ARBITRATE, INFORMATION, finding, verdict
 
 
@@ -20,27 +21,49 @@ def numbers(df: DataFrame, column: str, pattern: str, number: int = 1, series: S
     return df.withColumn("_n", F.when(fits, part(number).try_cast("bigint"))).withColumn("_s", F.when(fits, names))
 
 
+def before(steps: DataFrame, keys: Sequence[str], n: str, value: str, name: str) -> DataFrame:
+    """``steps`` (distinct ``n`` for each of ``keys``) with ``name``: ``value`` of the row before, by ``n``.
+
+    A series may be the whole table, so it isn't sorted in one task: rows are
+    parted by ranges of (keys, n), each part looks back in itself, and its first
+    row gets the last row of the part before. One row for each part is collected
+    for that, however many rows there are.
+    """
+    parted = steps.repartitionByRange(*keys, n).sortWithinPartitions(*keys, n).withColumn("_part", F.spark_partition_id())
+    ends = parted.groupBy("_part").agg(F.max_by(F.struct(*keys, F.col(value).alias("_v")), F.struct(*keys, n)).alias("_e"))
+    last = ends.withColumn("_last", F.lag("_e").over(Window.orderBy("_part"))).select("_part", "_last")  # one row for each part
+    within = Window.partitionBy("_part").orderBy(*keys, n)
+    own = parted.withColumn("_prev", F.lag(F.struct(*keys, F.col(value).alias("_v"))).over(within)).join(F.broadcast(last), "_part")
+    prev = F.coalesce("_prev", "_last")
+    same = F.lit(True)
+    for k in keys:
+        same = same & prev[k].eqNullSafe(F.col(k))
+    return own.withColumn(name, F.when(same, prev["_v"])).drop("_part", "_prev", "_last")
+
+
 def continuous_numbering(df: DataFrame, column: str, pattern: str, order: Sequence[str], number: int = 1, series: Sequence[int] = (), start: int | None = None, keys: Sequence[str] = (), outcome: str = ANOMALY) -> DataFrame:
     """No number of a series is left out; the first row of the next number carries the gap. Repeats aren't gaps, nor is what comes after the last."""
     own = numbers(df, column, pattern, number, series)
     each = ["_s", *keys]
-    steps = own.where("_n IS NOT NULL").select(*each, "_n").distinct().withColumn("_before", F.lag("_n").over(Window.partitionBy(*each).orderBy("_n")))
+    steps = before(own.where("_n IS NOT NULL").select(*each, "_n").distinct(), each, "_n", "_n", "_before")
     if start is not None:
         steps = steps.withColumn("_before", F.coalesce("_before", F.lit(start - 1)))
     gaps = steps.where("_n > _before + 1")
-    first = own.withColumn("_r", F.row_number().over(Window.partitionBy(*each, "_n").orderBy(*order)))
-    out = first.join(gaps, [*each, "_n"], "left")
+    # Only rows of numbers after a gap are ranked, and those by an aggregate.
+    place = F.struct(*order)
+    first = own.join(gaps, [*each, "_n"], "left_semi").groupBy(*each, "_n").agg(F.min(place).alias("_first"))
+    marks = gaps.join(first, [*each, "_n"])
+    out = own.join(marks, [*each, "_n"], "left")
     missing = F.concat_ws("-", (F.col("_before") + 1).cast("string"), (F.col("_n") - 1).cast("string"))
-    return verdict(out, F.col("_n").isNotNull(), [finding((F.col("_r") == 1) & F.col("_before").isNotNull(), "gap", missing, outcome)], drop=["_n", "_s", "_r", "_before"]).select(*df.columns, "state", "findings")
+    return verdict(out, F.col("_n").isNotNull(), [finding((place == F.col("_first")) & F.col("_before").isNotNull(), "gap", missing, outcome)]).select(*df.columns, "state", "findings")
 
 
 def chronological_numbering(df: DataFrame, column: str, pattern: str, date: str, order: Sequence[str], number: int = 1, series: Sequence[int] = (), year: int | None = None, outcome: str = ARBITRATE) -> DataFrame:
     """Not dated before the last number that has a readable date (its first row stands for it); the named year is the date's."""
-    own = numbers(df, column, pattern, number, series).withColumn("_d", F.col(date).cast("date"))
-    dated = own.where("_n IS NOT NULL AND _d IS NOT NULL")
-    stands = dated.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_n").orderBy(*order))).where("_r = 1")
-    before = stands.select("_s", "_n", F.lag("_d").over(Window.partitionBy("_s").orderBy("_n")).alias("_before"))
-    out = own.join(before, ["_s", "_n"], "left")
+    own = numbers(df, column, pattern, number, series).withColumn("_d", day(F.col(date)))
+    stands = own.where("_n IS NOT NULL AND _d IS NOT NULL").groupBy("_s", "_n").agg(F.min_by("_d", F.struct(*order)).alias("_d"))
+    earlier = before(stands, ["_s"], "_n", "_d", "_before").select("_s", "_n", "_before")
+    out = own.join(earlier, ["_s", "_n"], "left")
     found = [finding(F.col("_d") < F.col("_before"), "before_previous_number", F.date_format("_before", "yyyy-MM-dd"), outcome)]
     if year is not None:
         named = F.regexp_extract(F.col(column).cast("string"), rf"^(?:{pattern})\z", year)
@@ -54,7 +77,7 @@ def no_overlap(df: DataFrame, group: str, start: Column, minutes: Column, order:
     Of equal ends the earlier interval is the one compared with. Overlap and gap
     are in minutes.
     """
-    own = df.withColumn("_a", start.cast("timestamp")).withColumn("_m", minutes)
+    own = df.withColumn("_a", start.try_cast("timestamp")).withColumn("_m", minutes.try_cast("double").cast("long"))
     ok = ~blank(F.col(group)) & F.col("_a").isNotNull() & F.coalesce(F.col("_m") > 0, F.lit(False))
     own = own.withColumn("_ok", ok).withColumn("_b", F.when(ok, F.timestamp_seconds(F.unix_seconds(F.col("_a")) + F.col("_m") * 60)))
     before = Window.partitionBy(group, "_ok").orderBy("_a", "_b", *order).rowsBetween(Window.unboundedPreceding, -1)
@@ -71,20 +94,20 @@ def group_balance(df: DataFrame, group: str, debit: str, credit: str, tolerance:
     Sums are partial first and joined back, so a group that holds much of the
     table isn't gathered in one task.
     """
-    amount = lambda c: F.col(c).cast("decimal(28,8)")
-    sums = df.where(~blank(F.col(group))).groupBy(group).agg(F.sum(amount(debit)).alias("_d"), F.sum(amount(credit)).alias("_c"), F.bool_and(F.col(debit).isNotNull() & F.col(credit).isNotNull()).alias("_all"))
+    amount = lambda c: decimal(F.col(c))
+    sums = df.where(~blank(F.col(group))).groupBy(group).agg(F.sum(amount(debit)).alias("_d"), F.sum(amount(credit)).alias("_c"), F.bool_and(amount(debit).isNotNull() & amount(credit).isNotNull()).alias("_all"))
     out = df.join(sums, group, "left")
     return verdict(out, F.col("_all"), [finding(differs(F.col("_d"), F.col("_c"), tolerance), "unbalanced", F.round((F.col("_d") - F.col("_c")).cast("double"), 4), outcome)]).select(*df.columns, "state", "findings")
 
 
 def steps_cover(df: DataFrame, steps: DataFrame, key: str, start: str, end: str, step_key: str, step_date: str, outcome: str = ANOMALY) -> DataFrame:
     """For each period of a key a step is dated on or before its start, and after the end of the key's period before."""
-    own = df.withColumn("_a", F.col(start).cast("date")).withColumn("_z", F.col(end).cast("date"))
+    own = df.withColumn("_a", day(F.col(start))).withColumn("_z", day(F.col(end)))
     periods = own.where(~blank(F.col(key)) & F.col("_a").isNotNull()).groupBy(F.col(key).alias("_k"), "_a").agg(F.max("_z").alias("_z"))
     periods = periods.withColumn("_prev", F.lag("_z").over(Window.partitionBy("_k").orderBy("_a")))
     # The last step on or before the start decides: an as-of lookup by one sort of both.
     marks = periods.select("_k", F.col("_a").alias("_t"), F.lit(1).alias("_side"), "_prev").unionByName(
-        steps.where(F.col(step_date).isNotNull()).select(F.col(step_key).alias("_k"), F.col(step_date).cast("date").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("date").alias("_prev"))
+        steps.where(day(F.col(step_date)).isNotNull()).select(F.col(step_key).alias("_k"), day(F.col(step_date)).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("date").alias("_prev"))
     )
     last = F.max(F.when(F.col("_side") == 0, F.col("_t"))).over(Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     judged = marks.withColumn("_last", last).where("_side = 1").select(F.col("_k").alias(key), F.col("_t").alias("_a"), F.coalesce(F.col("_last") > F.coalesce("_prev", F.lit("0001-01-01").cast("date")), F.lit(False)).alias("_covered")).distinct()
@@ -101,10 +124,10 @@ def balance_never_negative(exits: DataFrame, entries: DataFrame, initial: DataFr
     a movement that can't be read, or a key whose initial balance is missing or
     repeated, blocks the key.
     """
-    first = initial.groupBy(key).agg(F.count("*").alias("_rows"), F.first(initial_column, ignorenulls=True).cast("decimal(28,8)").alias("_initial"))
-    when = F.col(date).cast("timestamp")
-    inwards = entries.select(F.col(key), (when - F.make_dt_interval(F.lit(advance))).alias("_t"), F.lit(0).alias("_kind"), F.col(quantity).cast("decimal(28,8)").alias("_q"), F.lit(None).cast("string").alias("_row"), F.array(*[F.col(c).cast("string") for c in order]).alias("_o"), *[F.lit(None).cast(t).alias(f"_x_{c}") for c, t in exits.dtypes])
-    outwards = exits.select(F.col(key), when.alias("_t"), F.lit(1).alias("_kind"), (-F.col(quantity)).cast("decimal(28,8)").alias("_q"), F.lit("exit").alias("_row"), F.array(*[F.col(c).cast("string") for c in order]).alias("_o"), *[F.col(c).alias(f"_x_{c}") for c in exits.columns])
+    first = initial.groupBy(key).agg(F.count("*").alias("_rows"), F.first(initial_column, ignorenulls=True).try_cast("decimal(28,8)").alias("_initial"))
+    when = F.col(date).try_cast("timestamp")
+    inwards = entries.select(F.col(key), (when - F.make_dt_interval(F.lit(advance))).alias("_t"), F.lit(0).alias("_kind"), decimal(F.col(quantity)).alias("_q"), F.lit(None).cast("string").alias("_row"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"), *[F.lit(None).cast(t).alias(f"_x_{c}") for c, t in exits.dtypes])
+    outwards = exits.select(F.col(key), when.alias("_t"), F.lit(1).alias("_kind"), (-decimal(F.col(quantity))).cast("decimal(28,8)").alias("_q"), F.lit("exit").alias("_row"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"), *[F.col(c).alias(f"_x_{c}") for c in exits.columns])
     if opening is not None:
         outwards = outwards.withColumn("_kind", F.when(F.col("_t") < F.lit(opening).cast("timestamp"), 2).otherwise(F.col("_kind")))
         inwards = inwards.where(F.col("_t").isNull() | (F.col("_t") >= F.lit(opening).cast("timestamp")))
@@ -112,13 +135,13 @@ def balance_never_negative(exits: DataFrame, entries: DataFrame, initial: DataFr
     blocked = moves.where("_kind < 2").groupBy(key).agg(F.bool_or(F.col("_t").isNull() | F.col("_q").isNull()).alias("_unread"))
     moves = moves.join(first, key, "left").join(blocked, key, "left")
     ok = (F.col("_rows") == 1) & F.col("_initial").isNotNull() & ~F.coalesce("_unread", F.lit(False))
-    by = Window.partitionBy(key).orderBy("_t", "_kind", *[F.col("_o")[i].cast("bigint") for i in range(len(order))])
+    by = Window.partitionBy(key).orderBy("_t", "_kind", "_o")
     run = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = F.when(F.col("_kind") < 2, F.col("_q")).otherwise(F.lit(0))
     moves = moves.withColumn("_balance", F.col("_initial") + F.sum(counted).over(run))
     moves = moves.withColumn("_segment", F.sum((F.col("_balance") >= 0).cast("int")).over(run))
     negative = (F.col("_kind") == 1) & (F.col("_balance") < 0)
-    within = Window.partitionBy(key, "_segment").orderBy("_t", "_kind", *[F.col("_o")[i].cast("bigint") for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(key, "_segment").orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, -1)
     moves = moves.withColumn("_earlier", F.coalesce(F.max(negative.cast("int")).over(within), F.lit(0)))
     rows = moves.where("_row = 'exit'")
     shown = F.round(F.col("_balance").cast("double"), 4)
@@ -134,7 +157,7 @@ def period_totals(left: DataFrame, right: DataFrame, period: str, amount: str, d
     keys = [period] + ([detail] if detail else [])
 
     def totals(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.sum(F.col(amount).cast("decimal(28,8)")).alias(name), F.bool_or(F.col(amount).isNull()).alias(f"_{name}"))
+        return df.groupBy(*keys).agg(F.sum(decimal(F.col(amount))).alias(name), F.bool_or(decimal(F.col(amount)).isNull()).alias(f"_{name}"))
 
     both = totals(left, "left").join(totals(right, "right"), keys, "full")
     block = both.agg(F.bool_or(F.col(period).isNull()).alias("_none"))  # one row

@@ -73,8 +73,18 @@ def condition(c: Column, values: Sequence | None = None, pattern: str | None = N
     return F.coalesce(~blank(c) & true, F.lit(False))
 
 
+def raw(df: DataFrame, c: str) -> Column:
+    """The cell as it was loaded, where ``df`` holds it beside what was read from it."""
+    return F.col(f"__raw_{c}" if f"__raw_{c}" in df.columns else c)
+
+
 def without_surplus(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``df`` with ``surplus``: true for all but the first of rows that are equal after normalisation."""
+    """``df`` with ``surplus``: true for all but the first of rows that are equal after normalisation; rows of blanks alone have no copy.
+
+    The first row is that by ``order`` (any of those that are equal in it, too).
+    It is found map-side and joined to one row for each key, dealt out over
+    salts, so copies are never gathered in one task.
+    """
     from ..functions.cells import blank, normalise
 
     names = list(columns)
@@ -82,6 +92,11 @@ def without_surplus(df: DataFrame, columns: Sequence[str], order: Sequence[str])
     hollow = F.lit(True)
     for c in names:
         hollow = hollow & blank(F.col(c))
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
-    out = df.withColumn("__key", F.when(hollow, F.concat(F.lit("blank:"), F.uuid())).otherwise(key))
-    return out.withColumn("surplus", first > 1).drop("__key")
+    place = F.struct(*order)
+    keyed = df.withColumn("__key", F.when(~hollow, key))
+    keyed = keyed.withColumn("__salt", F.when(hollow, F.xxhash64(*order)).otherwise(F.pmod(F.xxhash64(*order), F.lit(16))))
+    firsts = keyed.where("__key IS NOT NULL").groupBy("__key").agg(F.min(place).alias("__first"), F.count("*").alias("__size")).where("__size > 1").drop("__size")
+    firsts = firsts.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    out = keyed.join(firsts, ["__key", "__salt"], "left").withColumn("__is", place == F.col("__first"))
+    again = F.row_number().over(Window.partitionBy("__key", "__salt", "__is").orderBy(*order)) > 1
+    return out.withColumn("surplus", F.coalesce(~F.col("__is") | again, F.lit(False)) & F.col("__first").isNotNull()).select(*df.columns, "surplus")

@@ -137,10 +137,11 @@ def read_table(spark: SparkSession, scope: Scope, table: str, columns: Sequence[
     if columns is None:
         columns = sorted({c for r in raw.select("header").distinct().collect() for c in r.header if c})  # one header for each form of file
     period = F.create_map(*[F.lit(x) for _, p, path in files for x in (path.rsplit("/", 1)[-1], p)])
-    by_name = F.map_from_arrays(F.transform("header", lambda h: F.coalesce(h, F.lit(""))), "cells")
-    out = raw.withColumn("_m", by_name)
+    # Columns without a name are left out; of a name that repeats the first column counts.
+    out = raw.withColumn("_m", F.struct("header", "cells"))
+    cell = lambda c: F.when(F.array_contains("_m.header", c), F.get("_m.cells", F.array_position("_m.header", c).cast("int") - 1))
     stamp = F.lit(loaded_at).cast("timestamp") if loaded_at else F.date_trunc("second", F.current_timestamp())
-    return out.select("source_file", "source_sheet", "source_line", period[F.col("source_file")].alias("export_period"), stamp.alias("loaded_at"), "source_fields", "overflow", *[F.col("_m")[c].alias(c) for c in columns])
+    return out.select("source_file", "source_sheet", "source_line", period[F.col("source_file")].alias("export_period"), stamp.alias("loaded_at"), "source_fields", "overflow", *[cell(c).alias(c) for c in columns])
 
 
 def load_summary(tables: dict[str, DataFrame]) -> DataFrame:

@@ -55,14 +55,16 @@ def problems(flows: Sequence[Flow]) -> list[str]:
     return out
 
 
-def periods(first_year: int, end: str) -> list[str]:
-    """The years before the end's, then the months of its year up to ``end`` (YYYY-MM)."""
-    if not re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", end):
-        raise ValueError(f"{end!r} is no period YYYY-MM")
-    year, month = int(end[:4]), int(end[5:])
-    if year < first_year:
-        raise ValueError(f"{end} is before {first_year}")
-    return [*(f"{y:04d}" for y in range(first_year, year)), *(f"{year:04d}-{m:02d}" for m in range(1, month + 1))]
+def periods(annual: int, end: str, first_month: str | None = None) -> list[str]:
+    """The annual period, then every month from ``first_month`` (January of the next year unless given) up to ``end`` (YYYY-MM), over years."""
+    first_month = first_month or f"{annual + 1:04d}-01"
+    for x in (end, first_month):
+        if not re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", x):
+            raise ValueError(f"{x!r} is no period YYYY-MM")
+    if end < first_month:
+        raise ValueError(f"{end} is before {first_month}")
+    month = lambda x: int(x[:4]) * 12 + int(x[5:]) - 1
+    return [f"{annual:04d}", *(f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(month(first_month), month(end) + 1))]
 
 
 def expected(flow: Flow, names: Sequence[str]) -> list[tuple[str | None, str]]:

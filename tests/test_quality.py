@@ -6,11 +6,11 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from auditloom.functions.cells import blank, nature_of, read, signature, sql_name, tidy_spaces
+from auditloom.functions.cells import blank, nature_of, normalise, read, signature, sql_name, tidy_spaces
 from auditloom.operators import clean, duplicates, mart, profile, register
 from auditloom.sources.readers import parse_text, parse_workbook, read_table
 from auditloom.sources.scope import Flow, discover, periods
-from auditloom.sources.sinks import Refused, write_all
+from auditloom.sources.sinks import Refused, current, write_all
 
 
 def column(spark, values, f):
@@ -74,9 +74,39 @@ def test_clean_journal_and_decisions(spark):
 
 
 def test_wide_readers(spark):
-    assert column(spark, ["1.2.2025", "01/02/25", "31/02/2025", "2025-02-01", "x"], lambda c: clean.wide_date(c, "2025-12-31")) == ["2025-02-01", "2025-02-01", None, "2025-02-01", None]
-    assert column(spark, ["1 234,5", "12 €", "1.234", "1.5"], clean.wide_number) == ["1234.5", "12", None, "1.5"]
-    assert column(spark, ["1h30", "2 h", "90 min", "1:05", "soon"], clean.wide_duration) == [90, 120, 90, 65, None]
+    said = lambda f: lambda c: F.coalesce(f(c)["refusal"], f(c)["value"].cast("string"))
+    dates = ["01.02.2025", "01/02/25", "31/02/2025", "2025-02-01", "20250201", "1.2.2025", "01/02.2025", "01/02/27", "x"]
+    assert column(spark, dates, said(lambda c: clean.read_date(c, "2025-12-31"))) == ["2025-02-01", "2025-02-01", "impossible_date", "2025-02-01", "2025-02-01", None, None, "after_cutoff", None]
+    assert column(spark, ["01/02/25", "01/02/2025"], said(lambda c: clean.read_date(c, None))) == ["no_cutoff", "2025-02-01"]
+    numbers = ["1 234,5", "12 €", "1.234", "1234.567", "1.5", "-3,25€", "1 2 3", "€1€2", "12 345 678", "1 23", "abc"]
+    assert column(spark, numbers, said(clean.read_number)) == ["1234.5", "12", "ambiguous_separator", "ambiguous_separator", "1.5", "-3.25", None, None, "12345678", None, None]
+    durations = ["1h30", "2 h", "90 min", "1:05", "soon", "1,5 h", "95 minutes", "1 h 10 min", "1h75", "45", "1.5h", "2,5 mn"]
+    assert [None if x is None else float(x) for x in column(spark, durations, clean.wide_duration)] == [90, 120, 90, None, None, 90, 95, 70, None, 45, 90, 2.5]
+    assert column(spark, ["0,0000001 min"], said(clean.read_duration)) == ["inexact_duration"]
+
+
+def test_normal_form_is_that_of_unicode(spark):
+    import unicodedata
+
+    def want(t):
+        return " ".join("".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold().split())
+
+    texts = ["Straße Łódź č ﬁn Ａ", "ÉLAN\u00a0 vital\u2003x", "İstanbul ſ Σς", "Ⅻ ½ ㎏ 한국", "a\u0301b\u0327", "\x1c tab\tline\n", "", "plain ASCII  Text"]
+    assert column(spark, texts, normalise) == [want(t) for t in texts]
+
+
+def test_seven_cleaning_steps(spark):
+    rows = [(1, "Ã‰lan", " 01/02/25", "1 234,5 €", "b"), (2, "elan", "2025-02-01", "1.234", "a"), (3, "Zed", "31/02/2025", "7", "a"), (4, "Zed", "31/02/2025", "7", "a"), (5, "other", None, "x", "a")] + [(10 + i, "Élan", "2025-01-01", "5", f"k{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, name string, day string, price string, code string")
+    reference = spark.createDataFrame([("Élan",)], "form string")
+    mark = F.substring(F.sha1(F.lit("other")), 1, 16)
+    decisions = spark.range(1).select(F.lit(5).alias("key"), F.lit("name").alias("column"), F.lit("remove").alias("decision"), F.lit(None).cast("string").alias("value"), mark.alias("fingerprint"))
+    natures = {"day": ("date", "2025-12-31"), "price": ("number", None)}
+    out, log, refused = clean.clean_table(df, ["id"], ["id"], ["name"], ["day", "name"], {"name": (reference, "form")}, {"code": {"b": "B"}}, natures, ["name", "day", "price", "code"], decisions)
+    first = {r.id: tuple(r)[1:] for r in out.where("id < 10").collect()}
+    assert first == {1: ("Élan", "2025-02-01", "1234.5", "B"), 2: ("Élan", "2025-02-01", "1.234", "a"), 3: ("Zed", "31/02/2025", "7", "a")}
+    assert sorted((r.id, r.step, r.column) for r in log.collect() if r.id < 10) == [(1, "encoding", "name"), (1, "nature", "day"), (1, "nature", "price"), (1, "replacement", "code"), (1, "spaces", "day"), (2, "reference_form", "name"), (4, "duplicates", None), (5, "decisions", None)]
+    assert sorted((r.id, r.column, r.refusal) for r in refused.collect()) == [(2, "price", "ambiguous_separator"), (3, "day", "impossible_date"), (4, "day", "impossible_date"), (5, "price", "unreadable")]
 
 
 def test_monthly_cost_equals_plain_arithmetic(spark):
@@ -116,6 +146,11 @@ def test_text_source_keeps_lines_overflow_and_order(spark, tmp_path):
     with pytest.raises(ValueError, match="byte 0"):
         list(parse_text(b"\xff;a", "utf-8", ";"))
     assert periods(2024, "2025-02") == ["2024", "2025-01", "2025-02"]
+    assert periods(2025, "2027-02") == ["2025", *(f"2026-{m:02d}" for m in range(1, 13)), "2027-01", "2027-02"]
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y/u.csv").write_text("a;;;a\n1;2;3;4\n", encoding="utf-8")
+    again = discover(spark, str(tmp_path / "y"), [Flow("u", file="u.csv", encoding="utf-8", separator=";")], [])
+    assert [(r.a, r.source_fields) for r in read_table(spark, again, "u").collect()] == [("1", 4)]
 
 
 def test_workbook(tmp_path):
@@ -133,10 +168,14 @@ def test_sink_is_all_or_nothing(spark, tmp_path):
     df = spark.createDataFrame([("secret", 1.5)], "x string, n double")
     with pytest.raises(Refused):
         write_all({"a": df, "b": df}, str(tmp_path), {"b": ["x"]})
-    assert not list(tmp_path.iterdir())
-    write_all({"a": df}, str(tmp_path), form="csv")
-    write_all({"a": df.union(df)}, str(tmp_path), form="csv")
-    assert spark.read.option("sep", ";").option("header", True).csv(f"{tmp_path}/a").count() == 2
+    assert not list(tmp_path.iterdir()) and current(spark, str(tmp_path)) is None
+    first = write_all({"a": df, "b": df}, str(tmp_path), form="csv")
+    with pytest.raises(Exception, match="ZERO|zero"):
+        write_all({"a": df.union(df), "b": df.withColumn("n", F.lit(1) / F.expr("n - n"))}, str(tmp_path), form="csv")
+    assert current(spark, str(tmp_path)) == first and {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"CURRENT", first}
+    second = write_all({"a": df.union(df), "b": df}, str(tmp_path), form="csv")
+    assert current(spark, str(tmp_path)) == second != first
+    assert spark.read.option("sep", ";").option("header", True).csv(f"{tmp_path}/{second}/a").count() == 2
 
 
 def test_streams(spark, tmp_path):

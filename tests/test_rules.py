@@ -124,3 +124,47 @@ def test_rules_of_one_table_share_a_scan(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 50.0)], "id int, x double")
     rules = [Rule("LOW", "", "range", "t", {"column": "x", "low": 10.0}), Rule("HIGH", "", "range", "t", {"column": "x", "high": 40.0})]
     assert rows(evaluate_rows(df, rules, ["id"]).where("label IS NOT NULL").select("id", "rule", "label")) == [(1, "LOW", "below_minimum"), (2, "HIGH", "above_maximum")]
+
+
+def states(v, *keys):
+    return rows(report(v, *keys).select(*keys, "state", "label"))
+
+
+def test_unreadable_cells_are_not_evaluable(spark):
+    df = spark.createDataFrame([(1, "5,5", "01/02/2025"), (2, "abc", "31/02/2025"), (3, " ", ""), (4, "50,0", "01/02/1990")], "id int, x string, d string")
+    rules = [Rule("R", "", "range", "t", {"column": "x", "high": 40.0}), Rule("D", "", "date_plausible", "t", {"date": "d", "first": "2000-01-01", "cutoff": "2025-12-31"}), Rule("O", "", "dates_ordered", "t", {"start": "d", "end": "d", "end_optional": True})]
+    natures = {"t": {"x": "decimal_comma", "d": "date_dmy"}}
+    v = evaluate({"t": df}, rules, natures=natures)
+    assert states(v["R"], "id") == [(1, "controlled", None), (2, "not_evaluable", None), (3, "not_evaluable", None), (4, "controlled", "above_maximum")]
+    assert states(v["D"], "id") == [(1, "controlled", None), (2, "not_evaluable", None), (3, "not_evaluable", None), (4, "controlled", "too_early")]
+    assert [s for _, s, _ in states(v["O"], "id")] == ["controlled", "not_evaluable", "out_of_scope", "controlled"]
+    assert rows(v["R"].select("x")) == rows(df.select("x"))  # cells as they were loaded
+    wide = evaluate_rows(df, rules[:2], ["id"], natures["t"])
+    assert rows(wide.where("label IS NOT NULL").select("id", "rule", "label")) == [(4, "D", "too_early"), (4, "R", "above_maximum")]
+    for f in (lambda: row_rules.in_range(df, "x", 1.0), lambda: row_rules.date_plausible(df, "d", "2000-01-01", "2025-12-31"), lambda: linked_rules.total_of_lines(df, df, "id", "x", "id", "x")):
+        assert f().where("id = 2 AND state = 'not_evaluable'").count() == 1  # text never raises
+
+
+def test_view_holds_for_linked_tables_and_keys_are_counted_before_the_scope(spark):
+    heads = spark.createDataFrame([("a.csv", 1, 1, "x", 10.0), ("a.csv", 2, 2, "x", 10.0), ("b.csv", 1, 2, "y", 99.0), ("b.csv", 2, 1, "x", 10.0)], "source_file string, source_line int, id int, kind string, total double")
+    lines = spark.createDataFrame([("a.csv", 1, 1, 10.0), ("b.csv", 1, 1, 10.0), ("a.csv", 2, 2, 10.0)], "source_file string, source_line int, id int, amount double")
+    rule = Rule("R", "", "total_of_lines", "heads", {"lines": "lines", "key": "id", "total": "total", "line_key": "id", "amount": "amount"}, scope=(("kind", ("x",), None),))
+    place = ["source_file", "source_line"]
+    got = evaluate({"heads": heads, "lines": lines}, [rule], {"heads": place, "lines": place})["R"]
+    assert rows(report(got, *place).select(*place, "state", "label")) == [("a.csv", 1, "controlled", None), ("a.csv", 2, "not_evaluable", None), ("b.csv", 1, "out_of_scope", None), ("b.csv", 2, "surplus", None)]
+    with pytest.raises(RuleErrors, match="no total order of lines"):
+        evaluate({"heads": heads, "lines": lines}, [rule], {"heads": place})
+
+
+def test_numbering_over_many_ranges(spark):
+    df = spark.range(500).where("id % 37 <> 5").selectExpr("id AS row", "concat('N', id) AS n", "date_add(DATE'2025-01-01', CAST(id AS int) - IF(id % 50 = 0, 10, 0)) AS d").repartition(7)
+    v = sequence_rules.continuous_numbering(df, "n", r"N(\d+)", ["row"])
+    assert rows(findings(v, "row").select("row", "value")) == sorted([(i + 1, f"{i}-{i}") for i in range(5, 500, 37)], key=str)
+    v = sequence_rules.chronological_numbering(df, "n", r"N(\d+)", "d", ["row"])
+    assert [r[0] for r in rows(findings(v, "row").select("row"))] == sorted([i for i in range(50, 500, 50) if i % 37 != 5], key=str)
+
+
+def test_balance_order_may_be_text(spark):
+    exits = spark.createDataFrame([("b.csv", "k", "2025-01-02", 5), ("a.csv", "k", "2025-01-02", 6)], "file string, k string, d string, q int")
+    v = sequence_rules.balance_never_negative(exits, exits.limit(0), spark.createDataFrame([("k", 10)], "k string, initial int"), "k", "d", "q", ["file"])
+    assert rows(findings(v, "file").select("file", "label")) == [("b.csv", "turns_negative")]
