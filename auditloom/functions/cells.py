@@ -68,26 +68,44 @@ def signature(c: Column) -> Column:
 WHITE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-def _combining() -> str:
-    """All characters that combine with the one before them."""
+def _folds() -> tuple[str, str, str]:
+    """(letters, what they become one for one, pattern of letters that become several); combining marks, which go, end the first."""
     import sys
     import unicodedata
 
-    return "".join(chr(i) for i in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(i)))
+    one, several, gone = [], [], []
+    for i in range(0x80, sys.maxunicode + 1):
+        c = chr(i)
+        if 0xD800 <= i < 0xE000:
+            continue
+        form = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if not form:
+            gone.append(c)
+        elif len(form) > 1:
+            several.append(i)
+        elif form != c:
+            one.append((c, form))
+    edges = [k for k in range(len(several)) if k == 0 or several[k] != several[k - 1] + 1] + [len(several)]
+    spans = "".join(rf"\x{{{several[a]:x}}}-\x{{{several[b - 1]:x}}}" for a, b in zip(edges, edges[1:], strict=False) if several[a] != 0xDF)
+    return "".join(c for c, _ in one) + "".join(gone), "".join(f for _, f in one), rf"[\x{{80}}-\x{{10ffff}}&&[{spans}]]"
 
 
-COMBINING = _combining()
+FOLDED, FOLDS, SEVERAL = _folds()
 
 
 def normalise(c: Column) -> Column:
     """Compatibility decomposition without combining marks, case folded, runs of white space as one blank, trimmed.
 
-    Texts of ASCII alone, whose bytes are as many as their characters, only need lower case.
+    Texts of ASCII alone, whose bytes are as many as their characters, only need
+    lower case; most others are folded letter by letter. Those with letters that
+    become several (ligatures, fractions, Hangul; sharp s apart) are decomposed
+    by the JVM's Unicode library.
     """
     text = c.cast("string")
     apart = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
-    folded = F.try_reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.translate(apart, COMBINING, ""), F.lit(True))
-    plain = F.when(F.length(text) == F.octet_length(text), F.lower(text)).when(text.isNotNull(), folded)
+    whole = F.try_reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.translate(apart, FOLDED, FOLDS), F.lit(True))
+    letters = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), FOLDED, FOLDS)
+    plain = F.when(F.length(text) == F.octet_length(text), F.lower(text)).when(text.rlike(SEVERAL), whole).otherwise(letters)
     return F.trim(F.regexp_replace(plain, WHITE, " "))
 
 

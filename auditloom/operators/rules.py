@@ -110,7 +110,7 @@ def problems(rules: Sequence[Rule], tables: Mapping[str, DataFrame]) -> list[str
             out.append(f"{r.ref}: no outcome {r.outcome}")
         if r.table in tables:
             columns = set(tables[r.table].columns)
-            named = [v for k, v in r.parameters.items() if k in ("column", "key", "date", "target", "total", "numerator", "denominator", "by", "group", "debit", "credit") and isinstance(v, str)]
+            named = [v for k, v in r.parameters.items() if k in ("column", "key", "date", "target", "total", "numerator", "denominator", "by", "group", "debit", "credit") and isinstance(v, str) and not (k == "group" and r.type == "linked_sums_agree")]
             out += [f"{r.ref}: {r.table} has no column {c}" for c in dict.fromkeys([*named, *(c for c, _, _ in r.scope)]) if c not in columns]
         same = (r.type, r.table, repr(sorted(r.parameters.items(), key=lambda x: x[0])), repr(r.scope))
         if same in seen:

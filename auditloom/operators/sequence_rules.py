@@ -45,15 +45,18 @@ def continuous_numbering(df: DataFrame, column: str, pattern: str, order: Sequen
     """No number of a series is left out; the first row of the next number carries the gap. Repeats aren't gaps, nor is what comes after the last."""
     own = numbers(df, column, pattern, number, series)
     each = ["_s", *keys]
-    steps = before(own.where("_n IS NOT NULL").select(*each, "_n").distinct(), each, "_n", "_n", "_before")
+    # A run of numbers begins where the one before is absent, and ends where the next one is: each number marks its own place
+    # (1) and the next (2). Only the edges of runs are sorted by series.
+    marks = F.array(F.struct(F.col("_n").alias("m"), F.lit(1).alias("b")), F.struct((F.col("_n") + 1).alias("m"), F.lit(2).alias("b")))
+    edges = own.where("_n IS NOT NULL").select(*each, F.explode(marks).alias("e")).groupBy(*each, F.col("e.m").alias("_n")).agg(F.bit_or("e.b").alias("_b")).where("_b <> 3")
+    steps = edges.withColumn("_before", F.lag("_n").over(Window.partitionBy(*each).orderBy("_n")) - 1).where("_b = 1").drop("_b")
     if start is not None:
         steps = steps.withColumn("_before", F.coalesce("_before", F.lit(start - 1)))
     gaps = steps.where("_n > _before + 1")
     # Only rows of numbers after a gap are ranked, and those by an aggregate.
     place = F.struct(*order)
     first = own.join(gaps, [*each, "_n"], "left_semi").groupBy(*each, "_n").agg(F.min(place).alias("_first"))
-    marks = gaps.join(first, [*each, "_n"])
-    out = own.join(marks, [*each, "_n"], "left")
+    out = own.join(gaps.join(first, [*each, "_n"]), [*each, "_n"], "left")
     missing = F.concat_ws("-", (F.col("_before") + 1).cast("string"), (F.col("_n") - 1).cast("string"))
     return verdict(out, F.col("_n").isNotNull(), [finding((place == F.col("_first")) & F.col("_before").isNotNull(), "gap", missing, outcome)]).select(*df.columns, "state", "findings")
 

@@ -87,8 +87,9 @@ def without_surplus(df: DataFrame, columns: Sequence[str], order: Sequence[str])
     """
     from ..functions.cells import blank, normalise
 
-    names = list(columns)
-    key = F.sha2(F.to_json(F.struct(*[F.coalesce(normalise(F.col(c)), F.lit("")).alias(f"c{i}") for i, c in enumerate(names)])), 256)
+    names, kinds = list(columns), dict(df.dtypes)
+    form = lambda c: normalise(F.col(c)) if kinds[c] == "string" else F.col(c).cast("string")  # noqa: E731 - others are in normal form
+    key = F.sha2(F.to_json(F.struct(*[F.coalesce(form(c), F.lit("")).alias(f"c{i}") for i, c in enumerate(names)])), 256)
     hollow = F.lit(True)
     for c in names:
         hollow = hollow & blank(F.col(c))

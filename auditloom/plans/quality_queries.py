@@ -223,25 +223,63 @@ def clean_journal(spark, sf_dir):
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS read FROM orders""")
 def clean_dates(spark, sf_dir):
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "d.M.yyyy")).when(k == 2, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "MMM yyyy"))
+    text = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "dd.MM.yyyy")).when(k == 2, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "MMM yyyy"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(d, "yyyy-MM-dd").alias("iso"), clean.wide_date(text, "2030-01-01").alias("read"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE p_size || '.50' END AS read FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size || '.50' WHEN 1 THEN p_size || '.50' WHEN 3 THEN p_size || '234.5' END AS read,
+    CASE WHEN p_partkey % 6 = 2 THEN 'ambiguous_separator' END AS refusal FROM part""")
 def clean_numbers(spark, sf_dir):
-    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
-    text = F.when(k == 0, F.concat(n, F.lit(",50 €"))).when(k == 1, F.concat(F.lit(" "), n, F.lit(".50"))).otherwise(F.concat(n, F.lit(".500")))
-    return table(spark, sf_dir, "part").select("p_partkey", clean.wide_number(text).alias("read"))
+    """Decimals with comma and euro sign, with a point, three places (ambiguous), thousands, blanks between single figures, two euro signs."""
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    text = F.when(k == 0, F.concat(n, F.lit(",50 €"))).when(k == 1, F.concat(F.lit(" "), n, F.lit(".50"))).when(k == 2, F.concat(n, F.lit(".500"))).when(k == 3, F.concat(n, F.lit(" 234,5"))).when(k == 4, F.concat(n, F.lit(" 2 3"))).otherwise(F.concat(F.lit("€"), n, F.lit("€")))
+    read = clean.read_number(text)
+    return table(spark, sf_dir, "part").select("p_partkey", read["value"].alias("read"), read["refusal"].alias("refusal"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE floor(value)::BIGINT END AS minutes FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 6 IN (2, 5) THEN NULL WHEN event_id % 6 = 3 THEN floor(value)::BIGINT * 60 + 30 ELSE floor(value)::BIGINT END AS minutes FROM events""")
 def clean_durations(spark, sf_dir):
-    m, k = F.floor("value").cast("int"), F.col("event_id") % 4
+    """Hours with minutes, minutes, a time of day (no duration), hours with a decimal, minutes in full, and text."""
+    m, k = F.floor("value").cast("int"), F.col("event_id") % 6
     h, r = F.floor(m / 60).cast("int"), m % 60
-    text = F.when(k == 0, F.concat(h.cast("string"), F.lit(" h "), r.cast("string"))).when(k == 1, F.concat(m.cast("string"), F.lit(" min"))).when(k == 2, F.concat(h.cast("string"), F.lit(":"), F.lpad(r.cast("string"), 2, "0"))).otherwise(F.lit("soon"))
+    text = F.when(k == 0, F.concat(h.cast("string"), F.lit(" h "), r.cast("string"))).when(k == 1, F.concat(m.cast("string"), F.lit(" min"))).when(k == 2, F.concat(h.cast("string"), F.lit(":"), F.lpad(r.cast("string"), 2, "0")))
+    text = text.when(k == 3, F.concat(m.cast("string"), F.lit(",5 h"))).when(k == 4, F.concat(m.cast("string"), F.lit(" minutes"))).otherwise(F.lit("soon"))
     return table(spark, sf_dir, "events").select("event_id", clean.wide_duration(text).cast("long").alias("minutes"))
 
 
+#: Letters with marks, ligatures, wide and circled forms, other scripts and odd blanks, with what their normal form is: fixed values.
+LETTERS = [("Straße", "strasse"), ("Łódź", "łodz"), ("č ﬁn", "c fin"), ("Ａbc", "abc"), ("ÉLAN\u00a0 vital", "elan vital"), ("ΣΟΦΟΣ ①", "σοφοσ 1"), ("Привет\u2003Й", "привет и"), ("plain Text", "plain text")]
+
+
+@query("SELECT c_custkey, CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN '{want}'" for i, (_, want) in enumerate(LETTERS)) + " END || ' ' || c_custkey AS form FROM customer")
+def normal_form(spark, sf_dir):
+    from ..functions.cells import normalise
+
+    k = F.col("c_custkey")
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in LETTERS]), (k % 8).cast("int") + 1)
+    return table(spark, sf_dir, "customer").select("c_custkey", normalise(F.concat(F.lit("  "), said, F.lit("\t "), k.cast("string"), F.lit(" "))).alias("form"))
+
+
+@query("""
+    SELECT c_custkey, 'spaces' AS step, 'name' AS "column", '  ' || c_name || ' ' AS before, c_name AS after FROM customer
+    UNION ALL SELECT c_custkey, 'replacement', 'segment', c_mktsegment, 'HOUSE' FROM customer WHERE c_mktsegment = 'HOUSEHOLD'
+    UNION ALL SELECT c_custkey, 'nature', 'price', '12 345,5 €', '12345.5' FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT c_custkey, 'nature', 'day', '01/02/1997', '1997-02-01' FROM customer
+    UNION ALL SELECT c_custkey, 'duplicates', NULL, NULL, NULL FROM customer WHERE c_custkey % 5 = 0
+    UNION ALL SELECT c_custkey, 'decisions', NULL, NULL, NULL FROM customer WHERE c_custkey % 7 = 0""")
+def clean_steps(spark, sf_dir):
+    """The seven steps over a table with odd blanks, values to replace, numbers, dates, copies and decided rows: the journal."""
+    k = F.col("c_custkey")
+    price = F.when(k % 3 == 0, "12 345,5 €").when(k % 3 == 1, "1.234").otherwise("7")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("  "), "c_name", F.lit(" ")).alias("name"), F.col("c_mktsegment").alias("segment"), price.alias("price"), F.lit("01/02/1997").alias("day"), F.lit("a.csv").alias("source_file"))
+    rows = rows.unionByName(rows.where(k % 5 == 0).withColumn("source_file", F.lit("b.csv")))
+    mark = F.substring(F.sha1(F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))), 1, 16)
+    named = F.substring(F.sha1("c_name"), 1, 16)
+    decided = table(spark, sf_dir, "customer").where(k % 7 == 0).select(k.alias("key"), F.lit("name").alias("column"), F.lit("remove").alias("decision"), F.lit(None).cast("string").alias("value"), F.coalesce(named, mark).alias("fingerprint"))
+    _, log, _ = clean.clean_table(rows.withColumn("row", F.concat_ws("|", k.cast("string"), "source_file")), ["c_custkey", "source_file"], ["c_custkey", "source_file"], spaces=["name", "segment"], replacements={"segment": {"HOUSEHOLD": "HOUSE"}}, natures={"price": ("number", None), "day": ("date", "2000-01-01")}, duplicates=["c_custkey", "name", "segment", "price", "day"], decisions=decided)
+    return log.where("source_file = 'a.csv' OR step = 'duplicates'").select("c_custkey", "step", "column", "before", "after")
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 40 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS cell, c_mktsegment AS form FROM customer""")
 def clean_reference_form(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
@@ -354,13 +392,18 @@ def order_margin(spark, sf_dir):
     return out.select("o_orderkey", mart.margin(F.col("revenue"), F.col("cost")).cast("double").alias("margin"), reason.alias("reason"))
 
 
-@query("""SELECT 'rows' AS "check", count(*)::DOUBLE AS expected, count(*)::DOUBLE AS obtained, true AS conform FROM lineitem UNION ALL SELECT 'quantity', sum(l_quantity), sum(l_quantity), true FROM lineitem""")
+@query("""
+    WITH t AS (SELECT 'rows' AS "check", (SELECT count(*) FROM lineitem)::DOUBLE AS expected, (SELECT count(*) FROM lineitem l LEFT JOIN (SELECT DISTINCT l_returnflag AS code FROM lineitem) d ON l.l_returnflag = d.code)::DOUBLE AS obtained
+      UNION ALL SELECT 'quantity', (SELECT sum(l_quantity) FROM lineitem), (SELECT sum(q) FROM (SELECT l_returnflag, sum(l_quantity) AS q FROM lineitem GROUP BY 1))
+      UNION ALL SELECT 'returned', (SELECT sum(l_quantity) FROM lineitem), (SELECT sum(l_quantity) FROM lineitem WHERE l_returnflag = 'R'))
+    SELECT *, expected = obtained AS conform FROM t""")
 def verify_totals(spark, sf_dir):
+    """Two checks that hold and one that doesn't."""
     lines = table(spark, sf_dir, "lineitem")
     dim = mart.dimension(lines, "l_returnflag", [], ["l_returnflag"])
-    target = mart.fact(lines, {"flag_key": ("l_returnflag", dim)}, ["l_quantity"])
+    target = mart.fact(lines, {"flag_key": ("l_returnflag", dim)}, ["l_quantity", "l_returnflag"])
     q = F.sum(F.col("l_quantity").cast("decimal(28,4)"))
-    out = mart.hold_totals({"rows": (lines, F.count("*"), target, F.count("*")), "quantity": (lines, q, target, q)})
+    out = mart.hold_totals({"rows": (lines, F.count("*"), target, F.count("*")), "quantity": (lines, q, target, q), "returned": (lines, q, target.where("l_returnflag = 'R'"), q)})
     return out.select("check", F.col("expected").cast("double").alias("expected"), F.col("obtained").cast("double").alias("obtained"), "conform")
 
 

@@ -20,7 +20,7 @@ def plain(v):
     return float(v) if isinstance(v, Number) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", ["rule_header_total", "rule_overlap", "rule_balance_never_negative", "rule_linked_sums", "dup_value", "profile_columns", "anomaly_register", "asof_rate", "weighted_cost_monthly"])
+@pytest.mark.parametrize("name", ["rule_header_total", "rule_overlap", "rule_balance_never_negative", "rule_linked_sums", "dup_value", "profile_columns", "anomaly_register", "asof_rate", "weighted_cost_monthly", "view_header_total", "view_numbering_gaps", "view_unreadable_totals", "rule_unreadable_cells", "clean_numbers", "clean_durations", "clean_steps", "normal_form", "keyed_fingerprints", "verify_totals"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
