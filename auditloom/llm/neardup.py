@@ -9,7 +9,7 @@ n units gives n - 1 pairs and not n * n / 2. Links confirmed that way join
 units into components. What is left to compare are units that share a hub but
 are still in different components.
 
-* Hubs of up to ``BLOCK`` units: those outside a hub's main component are compared
+* Hubs of up to ``SPLIT`` units: those outside a hub's main component are compared
   with all of its units, in blocks of bounded size.
 * Larger hubs, as of documents made from one template, are split first: each of
   their units gets FINE more keys of FINE_ROWS MinHash values, and the hub's
@@ -37,6 +37,8 @@ from .components import components
 BLOCK, BLOCK_MEMBERS = 2048, 4_000_000
 #: Keys that split a larger hub, and MinHash values of each.
 FINE, FINE_ROWS = 28, 5
+#: Units from which a hub is split: comparing it in blocks copies its rows size / BLOCK times, splitting it FINE times.
+SPLIT = FINE * BLOCK
 
 
 def minhashes(shingles: np.ndarray, offsets: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -238,7 +240,7 @@ def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], DataFra
     comps = components(links)
     # Units that share a key share its hub, and each has been compared with that. What is still apart is compared hub by hub.
     rest = still_open(of_stars(stars, comps))
-    large = rest.where(F.col("size") > BLOCK)
+    large = rest.where(F.col("size") > SPLIT)
     if not large.isEmpty():
         fine = scratch(sets.join(large.select("uid").distinct(), "uid").mapInArrow(_finer, "uid long, fine array<long>"), "fine")
         split = large.select("hub", "uid", "comp").join(fine, "uid").select(F.explode("fine").alias("f"), "hub", "uid", "comp").select(F.xxhash64("hub", "f").alias("key"), "uid", "comp")
@@ -246,7 +248,7 @@ def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], DataFra
         pairs = scratch(split.join(inner, "key").where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), "stars")
         links = scratch(links.union(confirmed(pairs)), "links")
         comps = components(links)
-        small, inside = rest.where(F.col("size") <= BLOCK).select("hub", "uid"), of_stars(pairs, comps)
+        small, inside = rest.where(F.col("size") <= SPLIT).select("hub", "uid"), of_stars(pairs, comps)
         # Small hubs are held against the new components, too.
         again = small.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid")).select("hub", "uid", "comp")
         rest = still_open(again.unionByName(inside.withColumn("hub", F.xxhash64("hub", F.lit("fine")))))
