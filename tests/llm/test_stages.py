@@ -80,10 +80,12 @@ def test_no_scratch_folder_is_made_up_on_a_cluster():
         scratch_root(Spark)
 
 
-@pytest.mark.parametrize("block", [2048, 4])
+@pytest.mark.parametrize("block", [None, 4])
 def test_hubs_of_any_size_lose_no_link(spark, monkeypatch, block):
     """Documents of one template share hubs without being similar; families of near copies among them must be found."""
-    monkeypatch.setattr(neardup, "BLOCK", block)
+    if block:
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "SPLIT", block)
     rng = np.random.default_rng(13)
     template = words_of(rng, 60, 1 << 30)
     rows = []
