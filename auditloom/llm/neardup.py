@@ -73,11 +73,23 @@ def bands(values: np.ndarray, rows: int, tag: int) -> np.ndarray:
     return out
 
 
+def _sorted_runs(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``values`` with each run sorted; runs of one length are the rows of one matrix."""
+    out = values.copy()
+    at = np.cumsum(counts) - counts
+    order = np.argsort(counts, kind="stable")
+    lengths, first = np.unique(counts[order], return_index=True)
+    for n, runs in zip(lengths.tolist(), np.split(order, first[1:]), strict=True):
+        if n > 1:
+            place = at[runs][:, None] + np.arange(n)
+            out[place] = np.sort(values[place], axis=1)
+    return out
+
+
 def distinct_sets(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each run, and how many."""
     owner = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((shingles, owner))
-    s = shingles[order]
+    s = _sorted_runs(shingles, counts) if len(shingles) else shingles
     first = np.append(True, (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])) if len(s) else np.zeros(0, bool)
     return s[first], np.bincount(owner[first], minlength=len(counts)).astype(np.int64)
 
