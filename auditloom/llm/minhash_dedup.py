@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return rows.select("doc_id", "text").mapInArrow(fetch, "rk long, h1 long, h2 long, body binary")
 
     units = base.where("n > 0").withColumn("label", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    linked = near_duplicate_classes(units, _keys, sets_of, percent)
+    linked = near_duplicate_classes(units, _keys, sets_of, percent, 2 * M)
     # Equal sets are linked without any candidate.
     equal = units.groupBy("h1", "h2").agg(F.min("label").alias("own"), F.count("*").alias("size")).where("size > 1").drop("size")
     named = equal.join(linked, ["h1", "h2"], "full").select("h1", "h2", "group", F.least("comp", "own").alias("comp"))

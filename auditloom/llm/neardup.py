@@ -199,18 +199,20 @@ def _intersections(bodies: list[np.ndarray], queries: np.ndarray, targets: np.nd
     return out
 
 
-def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], DataFrame], sets_of: Callable[[Bitmap], DataFrame], percent: int) -> DataFrame:
+def near_duplicate_classes(units: DataFrame, keys: Callable[[DataFrame], DataFrame], sets_of: Callable[[Bitmap], DataFrame], percent: int, width: int) -> DataFrame:
     """(h1, h2, group, comp): for each distinct set that is linked with another, its component and the component's least label.
 
     ``units``: a scratch table with h1, h2 (the set's name), n (its size, over
     0), label (long; the least of a component is what comes back), rk (a
-    row's 64-bit key for ``sets_of``) and sig (array of long: its bands).
+    row's 64-bit key for ``sets_of``) and sig (array of ``width`` longs: its bands).
     ``keys`` explodes (uid, n, sig) into rows (key, uid). ``sets_of`` gives
     (rk, h1, h2, body) of at least the rows whose rk is in the bitmap. Sets are
     linked if 100 * common >= percent * union. group is a 64-bit name.
     """
-    reps = units.groupBy("h1", "h2").agg(F.min("label").alias("label"), F.min(F.struct("rk", "n", "sig")).alias("r"))
-    reps = scratch(reps.select("h1", "h2", "label", "r.rk", "r.n", "r.sig", F.xxhash64("h1", "h2").alias("uid")), "reps")
+    # Equal sets have equal bands; as single longs they are aggregated by hash, where an array or struct would be sorted.
+    sig = [F.first(F.col("sig")[i]).alias(f"s{i}") for i in range(width)]
+    reps = units.groupBy("h1", "h2").agg(F.min("label").alias("label"), F.min("rk").alias("rk"), F.first("n").alias("n"), *sig)
+    reps = scratch(reps.select("h1", "h2", "label", "rk", "n", F.array(*[f"s{i}" for i in range(width)]).alias("sig"), F.xxhash64("h1", "h2").alias("uid")), "reps")
     keyed = keys(reps.select("uid", "n", "sig"))
     hubs = keyed.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("size")).where("size > 1")
     stars = scratch(keyed.join(hubs, "key").where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), "stars")

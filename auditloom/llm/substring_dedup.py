@@ -337,7 +337,7 @@ def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
         return reps.select("uid", F.explode("sig").alias("key")).select("key", "uid")
 
     units = base.where("n > 0 AND sig IS NOT NULL").withColumn("label", F.xxhash64("h1", "h2"))
-    linked = near_duplicate_classes(units, keys, sets_of, PERCENT).drop("group")
+    linked = near_duplicate_classes(units, keys, sets_of, PERCENT, BANDS).drop("group")
     classes = base.groupBy("h1", "h2").agg(F.count("*").alias("size"))
     named = classes.join(linked, ["h1", "h2"], "left").where("size > 1 OR comp IS NOT NULL").select("h1", "h2", F.coalesce("comp", F.xxhash64("h1", "h2")).alias("comp"))
     named = scratch(named, "classes")
