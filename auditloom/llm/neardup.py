@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, discard, long_array, mix, scratch, spread_join
+from .common import Bitmap, discard, long_array, mix, scratch, spread_join, starts
 from .components import components
 
 #: Units of a hub, and members of their sets, that one task compares with as many others.
@@ -39,6 +39,8 @@ BLOCK, BLOCK_MEMBERS = 2048, 4_000_000
 FINE, FINE_ROWS = 28, 5
 #: Units from which a hub is split: comparing it in blocks copies its rows size / BLOCK times, splitting it FINE times.
 SPLIT = FINE * BLOCK
+#: Cells of a bit row that are compared in the time of counting one pair.
+PAIR_COST = 256
 
 
 def minhashes(shingles: np.ndarray, offsets: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -174,28 +176,53 @@ def _within(percent: int):
     return links
 
 
-def _intersections(bodies: list[np.ndarray], queries: np.ndarray, targets: np.ndarray, width: int = 1 << 15) -> np.ndarray:
-    """Sizes of the intersections of each query with each target, on bit rows over ``width`` values at a time."""
+def _intersections(bodies: list[np.ndarray], queries: np.ndarray, targets: np.ndarray, width: int = 1 << 15, pairs: int = 1 << 22) -> np.ndarray:
+    """Sizes of the intersections of each query with each target.
+
+    Values that few hold are counted pair by pair of their holders (``pairs`` at
+    a time), the others on bit rows over ``width`` values at a time.
+    """
     out = np.zeros((len(queries), len(targets)), np.int64)
     if not len(queries) or not len(targets):
         return out
-    values, codes, times = np.unique(np.concatenate(bodies), return_inverse=True, return_counts=True)
-    shared = times > 1  # the others are in no intersection
-    code = np.where(shared, np.cumsum(shared) - 1, -1)[codes]
-    owner = np.repeat(np.arange(len(bodies)), [len(x) for x in bodies])
-    keep = code >= 0
-    code, owner = code[keep], owner[keep]
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    for low in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(code, [low, low + width])
-        at = code[a:b] - low
-        bits = np.zeros((len(bodies), (min(width, int(shared.sum()) - low) + 63) // 64), np.uint64)
-        np.bitwise_or.at(bits, (owner[a:b], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-        right = bits[targets]
-        for k, i in enumerate(queries):
-            if bits[i].any():
-                out[k] += np.bitwise_count(right & bits[i]).sum(axis=1, dtype=np.int64)
+    of = lambda some: (np.concatenate([bodies[i] for i in some]), np.repeat(np.arange(len(some)), [len(bodies[i]) for i in some]))
+    (left, k), (right, j) = of(queries), of(targets)
+    values, codes = np.unique(np.concatenate([left, right]), return_inverse=True)
+    left, right = codes[: len(left)], codes[len(left) :]
+    n_left, n_right = (np.bincount(x, minlength=len(values)) for x in (left, right))
+    holders = n_left * n_right
+    often = holders * PAIR_COST > out.size
+
+    order = np.argsort(right, kind="stable")
+    held, first = j[order], starts(n_right)
+    rare = (holders > 0) & ~often
+    some = np.flatnonzero(rare[left])
+    n = n_right[left[some]]
+    edges = starts(n)
+    at = 0
+    while at < len(some):
+        stop = max(at + 1, int(np.searchsorted(edges, edges[at] + pairs, "right")) - 1)
+        mine, m = some[at:stop], n[at:stop]
+        place = np.repeat(first[left[mine]] - edges[at:stop], m) + np.arange(edges[at], edges[stop])
+        low, high = int(k[mine[0]]), int(k[mine[-1]]) + 1  # a body's members stand together
+        cells = np.bincount(np.repeat(k[mine] - low, m) * len(targets) + held[place], minlength=(high - low) * len(targets))
+        out[low:high] += cells.reshape(high - low, -1)
+        at = stop
+
+    code = np.cumsum(often) - 1
+    for low in range(0, int(often.sum()), width):
+        words = (min(width, int(often.sum()) - low) + 63) // 64
+
+        def bits(members: np.ndarray, owner: np.ndarray, rows: int, low: int = low, words: int = words) -> np.ndarray:
+            keep = often[members] & (code[members] >= low) & (code[members] < low + width)
+            at = code[members[keep]] - low
+            grid = np.zeros((rows, words), np.uint64)
+            np.bitwise_or.at(grid, (owner[keep], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+            return grid
+
+        mine, theirs = bits(left, k, len(queries)), bits(right, j, len(targets))
+        for i in np.flatnonzero(mine.any(axis=1)):
+            out[i] += np.bitwise_count(theirs & mine[i]).sum(axis=1, dtype=np.int64)
     return out
 
 
