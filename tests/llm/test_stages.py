@@ -250,3 +250,16 @@ def test_plan_cuts_fewer_pieces_than_plain_concatenation(spark):
     sequences = len({r.sequence_id for r in got})
     cut = len(got) - pieces
     assert cut < sequences / 3  # laid end to end, nearly each sequence's end cuts a piece
+
+
+@pytest.mark.parametrize("width,pairs,cost", [(1 << 15, 1 << 22, 256), (64, 7, 256), (64, 50, 0), (3, 1, 2), (64, 50, 10**9)])
+def test_intersections_by_pairs_and_by_bit_rows(monkeypatch, width, pairs, cost):
+    monkeypatch.setattr(neardup, "PAIR_COST", cost)
+    r = np.random.default_rng(5)
+    for case in range(40):
+        n, top = int(r.integers(0, 25)), (5, 40, 3000)[case % 3]
+        bodies = [np.unique(r.integers(0, top, int(r.integers(1, 60))).astype(np.uint64)) for _ in range(n)]
+        order, cut = r.permutation(n), int(r.integers(0, n + 1))
+        queries, targets = np.sort(order[:cut]), np.sort(order[cut:])
+        brute = np.array([[len(np.intersect1d(bodies[i], bodies[j])) for j in targets] for i in queries], np.int64).reshape(len(queries), len(targets))
+        assert (neardup._intersections(bodies, queries, targets, width, pairs) == brute).all()
