@@ -34,6 +34,8 @@ UNDETERMINED = "und"
 UNKNOWN, FLOOR = 1e-7, 1e-9
 #: Characters up to which no product of probabilities leaves the range of floats.
 SHORT = 32
+#: Bytes of text that are scored at a time.
+SLICE = 4 << 20
 
 
 @dataclass
@@ -300,7 +302,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         n_lang = len(model.languages)
         names = np.array([*model.languages, UNDETERMINED], object)
         cache = WordCache(Scorer(model), 150_000)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             text = pc.utf8_lower(texts(batch))
             letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
             best, score = np.full(len(text), n_lang), np.zeros(len(text))
@@ -314,6 +316,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 share /= share.sum(axis=1, keepdims=True)
                 best[letters], score[letters] = share.argmax(axis=1)[letters], share.max(axis=1)[letters]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["doc_id", "raw", "lang_pred", "score"])
+        pa.default_memory_pool().release_unused()  # workers wait for other stages beside the ones that run
 
     return named_rows(docs).mapInArrow(run, "doc_id long, raw long, lang_pred string, score double")
 
