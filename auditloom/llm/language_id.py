@@ -35,7 +35,7 @@ UNKNOWN, FLOOR = 1e-7, 1e-9
 #: Characters up to which no product of probabilities leaves the range of floats.
 SHORT = 32
 #: Bytes of text that are scored at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 @dataclass
