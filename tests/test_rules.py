@@ -63,6 +63,14 @@ def test_overlap_compares_with_the_interval_that_ends_last(spark):
     assert rows(v.where("state = 'not_evaluable'").select("id")) == [(5,), (6,)]
 
 
+def test_gap_is_counted_from_the_second_nearest_to_the_start(spark):
+    starts = {"g": "2025-01-01 00:05:59.7", "h": "2025-01-01 00:05:59.4", "i": "2025-01-01 00:05:59.5", "j": "2025-01-01 00:05:58.5"}
+    data = [(i, g, t, 1) for i, (g, t) in enumerate([(g, "2025-01-01 00:00:00.9") for g in starts] + list(starts.items()))]
+    df = spark.createDataFrame(data, "id int, g string, t string, m int")
+    v = sequence_rules.no_overlap(df, "g", F.col("t").cast("timestamp"), F.col("m"), ["id"], 5)
+    assert rows(findings(v, "g").select("g", "label")) == [("h", "too_close"), ("j", "too_close")]
+
+
 def test_balance_arms_again_after_recovering(spark):
     exits = spark.createDataFrame([(1, "k", "2025-01-02", 15), (2, "k", "2025-01-03", 5), (3, "k", "2025-01-06", 30)], "id int, k string, d string, q int")
     entries = spark.createDataFrame([(9, "k", "2025-01-05", 20)], "id int, k string, d string, q int")
