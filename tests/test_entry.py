@@ -34,3 +34,12 @@ def test_query_equals_its_sql(spark, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["rule_overlap", "view_overlap"])
+def test_gap_at_its_bound_equals_the_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-08 12:00:00.44' + to_microseconds(i // 100 * 60000000 + i // 100 * (299000000 + (i % 100) * 20000)) AS ts, i % 100 AS user_id, 'view' AS event_type, 0.5::DOUBLE AS value, '{}' AS props FROM range(200) t(i)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = {(r.event_id, r.label) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(entry.oracle_sql()[name]).fetchall()) and 0 < len(got) < 100
