@@ -37,8 +37,8 @@ def query(sql: str):
 
 def planted(df: DataFrame, key: str) -> DataFrame:
     """``df`` as of one file, and every fifth key's rows again as of another."""
-    again = df.where(F.pmod(F.col(key), F.lit(5)) == 0)
-    return df.withColumn("source_file", F.lit("a.csv")).unionByName(again.withColumn("source_file", F.lit("b.csv")))
+    again = F.pmod(F.col(key), F.lit(5)) == 0
+    return df.withColumn("source_file", F.explode(F.when(again, F.array(F.lit("a.csv"), F.lit("b.csv"))).otherwise(F.array(F.lit("a.csv")))))
 
 
 def judged(tables: dict[str, tuple[DataFrame, list[str], str]], kind: str, name: str, scope=(), **parameters) -> DataFrame:
@@ -127,8 +127,9 @@ def view_period_totals(spark, sf_dir):
 @same_as("rule_unique_link_in_delay")
 def view_unique_link_in_delay(spark, sf_dir):
     df, keys, by = lines(spark, sf_dir)
-    df = df.withColumn("doc", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")))
-    documents = df.groupBy("doc", "l_orderkey").agg(F.min("l_shipdate").alias("shipped"))
+    doc = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("doc")
+    documents = df.groupBy("l_orderkey", "l_suppkey").agg(F.min("l_shipdate").alias("shipped")).select(doc, "l_orderkey", "shipped")
+    df = df.withColumn("doc", doc)
     tables = {"orders": orders(spark, sf_dir), "links": (df, keys, by), "documents": (documents, ["doc"], "l_orderkey")}
     v = judged(tables, "unique_link_in_delay", "orders", key="o_orderkey", date="o_orderdate", links="links", link_key="l_orderkey", document="doc", documents="documents", document_key="doc", document_date="shipped", least=0, most=30, cutoff="1998-06-30")
     return findings(v, "o_orderkey").select("o_orderkey", "label", "outcome")
