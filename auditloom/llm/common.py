@@ -268,9 +268,12 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id and text are in ``gone`` (doc_id, raw); a null doc_id equals itself."""
+    """``docs`` without the rows whose doc_id and text are in ``gone`` (doc_id, raw); a null doc_id equals itself.
+
+    ``gone`` is written first: by its true size Spark knows whether ``docs`` needs to be shuffled at all.
+    """
     rows = _whole(docs)
-    out = gone.select(F.col("doc_id").alias("gone_id"), F.col("raw").alias("gone_raw")).distinct()
+    out = scratch(gone.select(F.col("doc_id").alias("gone_id"), F.col("raw").alias("gone_raw")).distinct(), "gone")
     return rows.join(out, (rows["raw"] == out["gone_raw"]) & rows["doc_id"].eqNullSafe(out["gone_id"]), "left_anti").select("row.*")
 
 

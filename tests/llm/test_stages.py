@@ -263,3 +263,13 @@ def test_intersections_by_pairs_and_by_bit_rows(monkeypatch, width, pairs, cost)
         queries, targets = np.sort(order[:cut]), np.sort(order[cut:])
         brute = np.array([[len(np.intersect1d(bodies[i], bodies[j])) for j in targets] for i in queries], np.int64).reshape(len(queries), len(targets))
         assert (neardup._intersections(bodies, queries, targets, width, pairs) == brute).all()
+
+
+def test_few_gone_rows_do_not_shuffle_the_documents(spark):
+    from auditloom.llm.common import drop_rows
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d")], "doc_id long, text string")
+    many = spark.range(1 << 22).selectExpr("if(id = 7, null, id) AS doc_id", "xxhash64(if(id = 1, 'a', if(id = 7, 'c', 'z'))) AS raw")  # Spark can't tell how few of them pass
+    out = drop_rows(docs, many.where("doc_id = 1 OR doc_id IS NULL"))
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.text for r in out.collect()) == ["b", "d"]
