@@ -49,6 +49,14 @@ WRAPPED = 20
 NEAR = 49
 #: Any run of so many words that occurs twice is found; SEED words of it are looked up first.
 RUN, SEED = 50, 26
+#: Bytes of text that are taken at a time: a worker makes some sixty times as much of them.
+SLICE = 1 << 20
+
+
+def _slices(batches):
+    """Slices of the batches; then a worker's free memory goes back, as it waits beside the stages that run."""
+    yield from slices(batches, "text", SLICE)
+    pa.default_memory_pool().release_unused()
 
 
 def paragraphs(doc_id: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -140,7 +148,7 @@ _UNITS = "doc_id long, raw long, kind string, line long, start long, n_chars lon
 
 def _units(least: int):
     def run(batches):
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in _slices(batches):
             u = _units_of(batch, least)
             s, n = shingle_sets(u["text"])
             h1, h2 = set_hashes(s, n)
@@ -236,7 +244,7 @@ def _candidates(held):
     """Windows whose least hash is in a bitmap; dead: they overlap a passage that goes for a near copy."""
 
     def run(batches):
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in _slices(batches):
             h, at, row, low, (first, last, number) = _windows(texts(batch), batch.column("covered"))
             some = np.flatnonzero(held.value.has(low))
             if not len(some):
@@ -260,7 +268,7 @@ def _candidates(held):
 
 def _open(batches):
     """Rows that have a window of RUN words not all of which are covered, with the seeds of those windows."""
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in _slices(batches):
         _, at, row, low, _ = _windows(texts(batch), batch.column("covered"))
         if len(row):
             keep = np.unique(row)
@@ -322,7 +330,7 @@ def _units_with_copies(rows: DataFrame, min_words: int) -> DataFrame:
         held = spark.sparkContext.broadcast(bitmap)
 
         def fetch(batches):
-            for batch in slices(batches, "text", 4 << 20):
+            for batch in _slices(batches):
                 u = _units_of(batch, min_words)
                 rk = _row_keys(batch, u)
                 at = np.flatnonzero(held.value.has(rk))

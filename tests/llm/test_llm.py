@@ -211,6 +211,28 @@ def test_shared_runs_wherever_they_begin(spark):
     assert left[7] == shared[:49]
 
 
+def test_a_worker_takes_little_memory_for_passages():
+    """The peak over 4 MB of text in one batch, and the same rows as slice by slice."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    from auditloom.llm import substring_dedup
+
+    rng = np.random.default_rng(3)
+    text = [words_of(rng, 900) + "\n" for _ in range(1000)]
+    ids, none = pa.array(range(len(text))), pa.array([[]] * len(text), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(text), none, none], names=["doc_id", "raw", "text", "covered", "lossy"])
+    held = SimpleNamespace(value=SimpleNamespace(has=lambda x: x % np.uint64(10) == 0))
+    for run in (substring_dedup._units(10), substring_dedup._open, substring_dedup._candidates(held)):
+        whole = pa.Table.from_batches(x for i in range(0, 1000, 50) for x in run(iter([batch.take(pa.array(range(i, i + 50)))])))
+        tracemalloc.start()  # counts NumPy's arrays
+        parts = list(run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert pa.Table.from_batches(parts).equals(whole)
+        assert peak < 64 << 20
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.text("abc", min_size=1, max_size=4), max_size=12), st.text("abcd", max_size=25))
 def test_longest_match_equals_greedy(pieces, word):
